@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import p02_near_duplicates as p2
 from textloom.llm import p07_repeated_lines as p7
 from textloom.tables import table
 
@@ -15,6 +16,18 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isin("blog", "community"))
 
 
+def _docs_and_github(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "raw_page").filter(F.col("source").isNull() | (F.col("source") == "github"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2.similar_pairs(_docs_and_github(spark, d))
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return p2.groups(_docs_and_github(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return p7.repeated_lines(_posts(spark, d))
 
@@ -23,7 +36,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return p7.without_repeated_lines(_posts(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p7_found": p7_found, "p7_clean": p7_clean}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
