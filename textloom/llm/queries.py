@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import p02_near_duplicates as p2
+from textloom.llm import p03_quality as p3
 from textloom.llm import p06_main_content as p6
 from textloom.llm import p07_repeated_lines as p7
 from textloom.tables import table
@@ -29,6 +30,14 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return p2.groups(_docs_and_github(spark, d))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3.non_prose(_posts(spark, d))
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return p3.quality(_posts(spark, d))
+
+
 def _crawled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isNull() | F.col("source").isin("blog", "community"))
 
@@ -49,7 +58,7 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return p7.without_repeated_lines(_posts(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
