@@ -12,6 +12,7 @@ from textloom.llm import p03_quality as p3
 from textloom.llm import p06_main_content as p6
 from textloom.llm import p07_repeated_lines as p7
 from textloom.llm import p09_contamination as p9
+from textloom.llm import p10_subjects as p10
 from textloom.tables import table
 
 
@@ -67,7 +68,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return p9.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items}
+def _subject_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return table(spark, d, "documents"), table(spark, d, "subject_label"), table(spark, d, "subject")
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return p10.document_subjects(*_subject_tables(spark, d)).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return p10.composition(*_subject_tables(spark, d))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
