@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import p02_near_duplicates as p2
 from textloom.llm import p03_quality as p3
+from textloom.llm import p04_residue as p4
 from textloom.llm import p06_main_content as p6
 from textloom.llm import p07_repeated_lines as p7
 from textloom.llm import p09_contamination as p9
@@ -40,6 +41,20 @@ def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
     return p3.quality(_posts(spark, d))
 
 
+def _docs_and_community(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    pages = table(spark, d, "raw_page")
+    return pages.filter(F.col("source").isNull()), pages.filter(F.col("source") == "community")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, posts = _docs_and_community(spark, d)
+    return p4.residue(docs, "text").unionByName(p4.residue(posts, "title"))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return p4.without_residue(*_docs_and_community(spark, d))
+
+
 def _crawled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isNull() | F.col("source").isin("blog", "community"))
 
@@ -80,7 +95,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10.composition(*_subject_tables(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
