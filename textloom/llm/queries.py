@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.llm import p01_token_budget as p1
 from textloom.llm import p02_near_duplicates as p2
 from textloom.llm import p03_quality as p3
 from textloom.llm import p04_residue as p4
+from textloom.llm import p05_splitting as p5
 from textloom.llm import p06_main_content as p6
 from textloom.llm import p07_repeated_lines as p7
 from textloom.llm import p09_contamination as p9
@@ -21,6 +23,14 @@ def _posts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isin("blog", "community"))
 
 
+def p1_chunk_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return p1.chunk_tokens(table(spark, d, "chunk"))
+
+
+def p1_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    return p1.totals(table(spark, d, "chunk"))
+
+
 def _docs_and_github(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isNull() | (F.col("source") == "github"))
 
@@ -55,6 +65,14 @@ def p4_clean(spark: SparkSession, d: str) -> DataFrame:
     return p4.without_residue(*_docs_and_community(spark, d))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5.oversized_pieces(table(spark, d, "chunk")).filter("piece = 1").select("id")
+
+
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return p5.renumbered(table(spark, d, "chunk"))
+
+
 def _crawled(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "raw_page").filter(F.col("source").isNull() | F.col("source").isin("blog", "community"))
 
@@ -95,7 +113,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10.composition(*_subject_tables(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_clean": p4_clean, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_chunk_tokens": p1_chunk_tokens, "p1_token_totals": p1_token_totals, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
@@ -105,5 +123,6 @@ f AS (SELECT page_id, site, line_no, {_FOLDED} AS k FROM l),
 often AS (SELECT site, k FROM f WHERE length(k) >= 20 GROUP BY site, k HAVING count(DISTINCT page_id) >= 6)
 """
 SQL: dict[str, str] = {
+    "p5_found": "SELECT id FROM (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunk) WHERE r = 1 AND length(text) > 4000",
     "p7_found": _P7_LINES + "SELECT f.page_id, f.line_no FROM f JOIN often o ON f.k = o.k AND f.site IS NOT DISTINCT FROM o.site",
 }
