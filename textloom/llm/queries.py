@@ -14,6 +14,7 @@ from textloom.llm import p04_residue as p4
 from textloom.llm import p05_splitting as p5
 from textloom.llm import p06_main_content as p6
 from textloom.llm import p07_repeated_lines as p7
+from textloom.llm import p08_packing as p8
 from textloom.llm import p09_contamination as p9
 from textloom.llm import p10_subjects as p10
 from textloom.tables import table
@@ -93,6 +94,14 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return p7.without_repeated_lines(_posts(spark, d))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return p8.packed(table(spark, d, "documents"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return p8.containers(table(spark, d, "documents"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return p9.contaminated(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
@@ -113,7 +122,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return p10.composition(*_subject_tables(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_chunk_tokens": p1_chunk_tokens, "p1_token_totals": p1_token_totals, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p1_chunk_tokens": p1_chunk_tokens, "p1_token_totals": p1_token_totals, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_statistics": p3_statistics, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_pieces": p5_pieces, "p6_found": p6_found, "p6_bodies": p6_bodies, "p7_found": p7_found, "p7_clean": p7_clean, "p8_packed": p8_packed, "p8_containers": p8_containers, "p9_found": p9_found, "p9_items": p9_items, "p10_found": p10_found, "p10_composition": p10_composition}
 
 #: SQL for the driver's check, written from the definitions and not from the operators.
 _FOLDED = r"trim(regexp_replace(regexp_replace(lower(line), '[\s\x{00a0}\x{3000}]+', ' ', 'g'), '[0-9]+', '0', 'g'))"
