@@ -466,4 +466,4 @@ def stream_sessions(spark, d):
 def stream_histories(spark, d):
     path = shared_path(spark, "stream-histories")
     rows = pipelines.table_stream(spark, f"{d}/message.parquet")
-    return pipelines.latest_output(pipelines.history_stream(rows), "session_id", f"{path}/out", f"{path}/checkpoint")
+    return pipelines.latest_output(pipelines.history_stream(rows, expire=False), "session_id", f"{path}/out", f"{path}/checkpoint")

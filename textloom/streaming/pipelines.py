@@ -40,10 +40,11 @@ def session_stream(accesses: DataFrame, key: str, at: str, minutes: int = 30, la
 HISTORY = "session_id string, pos long, role string, content string"
 
 
-def history_stream(messages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+def history_stream(messages: DataFrame, config: EngineConfig = EngineConfig(), expire: bool = True) -> DataFrame:
     """The last messages of each session, kept as state; every update gives the session's history out anew.
 
-    State is one bounded list a session and is dropped after the session's idle time.
+    State is one bounded list a session, dropped after the session's idle time with ``expire``;
+    a stream that is to end by itself (``availableNow``) must run without, as a clock never ends.
     """
     most = 2 * config.session_turns
 
@@ -57,11 +58,12 @@ def history_stream(messages: DataFrame, config: EngineConfig = EngineConfig()) -
                 held[int(p)] = (r, c)
         kept = sorted(held)[-most:]
         state.update(([int(p) for p in kept], [held[p][0] for p in kept], [held[p][1] for p in kept]))
-        state.setTimeoutDuration(config.session_minutes * 60_000)
+        if expire:
+            state.setTimeoutDuration(config.session_minutes * 60_000)
         yield pd.DataFrame({"session_id": [key[0]] * len(kept), "pos": kept, "role": [held[p][0] for p in kept], "content": [held[p][1] for p in kept]})
 
     rows = messages.filter("session_id is not null and pos is not null").select("session_id", "pos", "role", "content")
-    return rows.groupBy("session_id").applyInPandasWithState(update, HISTORY, "pos array<long>, role array<string>, content array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("session_id").applyInPandasWithState(update, HISTORY, "pos array<long>, role array<string>, content array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def latest_output(stream: DataFrame, key: str, path: str, checkpoint: str) -> DataFrame:
