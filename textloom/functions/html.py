@@ -193,7 +193,7 @@ def thread_page(html: str) -> dict | None:
         posts = [t] if (t := area.text("\n", strip=True)) else []
     if not posts:
         return None
-    return {"title": title, "breadcrumbs": [], "headings": [{"level": 1, "text": title}], "text": tidy("\n\n---\n\n".join([title, *posts]))}
+    return {"title": title, "breadcrumbs": [], "headings": [{"level": 1, "text": title}], "text": tidy(title + "\n\n" + "\n\n---\n\n".join(posts))}
 
 
 KINDS = {"docs": docs_page, "release-notes": docs_page, "blog": blog_page, "community": thread_page}

@@ -99,7 +99,7 @@ def sessions(accesses: DataFrame, key: str, at: str, minutes: int = 30) -> DataF
 
     An access exactly at the limit still belongs to the session. Rows without a time are left out.
     """
-    rows = accesses.filter(F.col(at).isNotNull())
+    rows = accesses.select(key, at).filter(F.col(at).isNotNull())
     order = Window.partitionBy(key).orderBy(at)
     new = F.col(at) > F.lag(at).over(order) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
     numbered = rows.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))

@@ -73,7 +73,8 @@ class CellIndex:
     """Approximate search: every vector lies in the cell of its nearest centre; a query looks into the nearest cells.
 
     Centres are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); all
-    vectors are indexed. Probing p of c cells reads about p / c of the vectors.
+    vectors are indexed. The number of cells to probe is chosen on the sample, so that nearly
+    all of its true neighbours are met; p of c cells hold about p / c of the vectors.
     """
 
     SAMPLE = 20_000
@@ -88,7 +89,6 @@ class CellIndex:
         m = unit(matrix(held.column("embedding")))
         m = m[~np.isnan(m).any(axis=1)]
         cells = self.cells or max(1, int(np.sqrt(n)) // 2)
-        self.probes = self.probes or max(1, -(-cells * 2 // 5))
         rng = np.random.default_rng(0)
         centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)] if len(m) else np.zeros((1, 1))
         for _ in range(self.rounds):
@@ -98,8 +98,19 @@ class CellIndex:
                     v = m[near == c].sum(axis=0)
                     centres[c] = v / max(1e-12, np.linalg.norm(v))
         self.centres = centres
+        self.probes = self.probes or self._probes_for(m)
         return self
 
+    def _probes_for(self, m: np.ndarray, k: int = 10, share: float = 0.96) -> int:
+        """Least number of cells in which ``share`` of the sample's true neighbours of some of its vectors lie."""
+        if len(m) <= k or len(self.centres) == 1:
+            return len(self.centres)
+        q = m[:: max(1, len(m) // 256)]
+        near = np.argpartition(-(q @ m.T), k, axis=1)[:, : k + 1]
+        cell = (m @ self.centres.T).argmax(axis=1)
+        place = np.argsort(np.argsort(-(q @ self.centres.T), axis=1), axis=1)
+        return int(np.quantile(np.take_along_axis(place, cell[near], axis=1), share)) + 1
+
     def _cells(self, column: str, count: int):
         centres = self.centres
 

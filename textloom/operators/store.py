@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.schemas import INDEXED
+from textloom.session import cut
 
 
 def last_rows(rows: DataFrame, key: str, *order: Column) -> DataFrame:
@@ -56,8 +57,10 @@ class ChunkStore:
 
     def upsert(self, rows: DataFrame, *order: Column) -> int:
         """Insert or replace by key, the last of equal keys by ``order``; gives the rows offered."""
-        new = last_rows(rows, self.key, *(order or (F.monotonically_increasing_id(),)))
-        self._commit(upserted(self.read(), new, self.key))
+        rows = cut(rows)  # embedded once, read twice
+        if not order:
+            rows, order = rows.withColumn("_arrival", F.monotonically_increasing_id()), (F.col("_arrival"),)
+        self._commit(upserted(self.read(), last_rows(rows, self.key, *order), self.key))
         return rows.count()
 
     def merge(self, rows: DataFrame, *order: Column) -> None:

@@ -7,11 +7,12 @@ import gzip
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _ENTRIES = "array<struct<loc: string, lastmod: string>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _inflated(content: pd.Series, url: pd.Series) -> pd.Series:
     def one(raw, name):
         if raw is None:
