@@ -108,7 +108,7 @@ def _jaccard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def classes(pages: DataFrame, width: int, min_words: int) -> DataFrame:
     """(page_id, rep, signature): rep is the least page id with the same shingle set."""
-    signed = cut(pages.select("page_id", "text").mapInArrow(_signatures(width, min_words), "page_id long, class_key binary, signature binary"))
+    signed = cut(pages.filter("page_id is not null").select("page_id", "text").mapInArrow(_signatures(width, min_words), "page_id long, class_key binary, signature binary"))
     reps = signed.groupBy("class_key").agg(F.min("page_id").alias("rep"), F.count("*").alias("n"))
     # most classes have one member: only the others need the join
     several = reps.filter("n > 1").select("class_key", "rep")

@@ -31,6 +31,7 @@ LEAST = 0.5
 #: Numbers of a page's chunks are summed up in ranges of this size.
 RANGE = 4096
 _DIMENSIONS = 512
+STRETCH = 4000
 _BOUNDARY = re.compile(r"\n[ \t]*\n\s*|\n|(?<=[.!?…;:])\s+|(?<=[。！？；])|\s+")
 _WORD = re.compile(r"[^\W_]+")
 #: Worth of a boundary besides its valley: blank line, line end, sentence end, any white space.
@@ -54,7 +55,21 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def valley_depths(text: str, cuts: np.ndarray) -> np.ndarray:
-    """How deep the lexical similarity dips at each of the cuts between units."""
+    """How deep the lexical similarity dips at each of the cuts between units.
+
+    Very long texts are worked through in overlapping stretches of ``STRETCH`` cuts, with
+    the same result, as a depth depends on the ``2 * BLOCK`` units on either side only.
+    """
+    out = np.empty(len(cuts))
+    for a in range(0, len(cuts), STRETCH):
+        lo, hi = max(0, a - 3 * BLOCK), min(len(cuts), a + STRETCH + 3 * BLOCK)
+        begin, end = int(cuts[lo - 1]) if lo else 0, int(cuts[hi]) if hi < len(cuts) else len(text)
+        depth = _depths(text[begin:end], cuts[lo:hi] - begin)
+        out[a : a + STRETCH] = depth[a - lo : a - lo + STRETCH]
+    return out
+
+
+def _depths(text: str, cuts: np.ndarray) -> np.ndarray:
     edges = [0, *cuts.tolist(), len(text)]
     units = len(edges) - 1
     counts = np.zeros((units + 1, _DIMENSIONS), np.float32)

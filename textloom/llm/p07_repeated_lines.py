@@ -95,7 +95,7 @@ def _page_lines(min_chars: int):
 
 def site_lines(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every line long enough to count, with its key and its chunks' keys (all keys hold the site)."""
-    return pages.select("page_id", "site", "text").mapInArrow(_page_lines(min_chars), LINES)
+    return pages.filter("page_id is not null").select("page_id", "site", "text").mapInArrow(_page_lines(min_chars), LINES)
 
 
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS) -> DataFrame:

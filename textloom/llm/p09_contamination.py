@@ -159,13 +159,13 @@ def leaks(documents: DataFrame, items: DataFrame, least: float = 0.8, exact: boo
     ``windows`` counts the pairs of windows of at least ``least`` similarity; with ``exact``
     only windows equal word by word count.
     """
-    own = items.select("item_id", "text").dropDuplicates()
+    own = items.filter("item_id is not null").select("item_id", "text").dropDuplicates()
     blocks = max(1, -(-own.count() // ITEM_BLOCK))
     numbered = own.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)))
     parts = []
     for k in range(blocks):
         rows = [(r.item_id, r.text) for r in numbered.filter(F.col("block") == k).collect()]
-        parts.append(documents.select("doc_id", "text").mapInArrow(_search(rows, least, exact), "doc_id long, item_id long, similarity double, windows long"))
+        parts.append(documents.filter("doc_id is not null").select("doc_id", "text").mapInArrow(_search(rows, least, exact), "doc_id long, item_id long, similarity double, windows long"))
     return reduce(DataFrame.unionByName, parts)
 
 
