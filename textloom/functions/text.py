@@ -13,8 +13,9 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
 def strip(text: Column) -> Column:
-    """Without leading and trailing white space of any script."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    """Without leading and trailing white space of any script; the pattern only runs where an end has some."""
+    ends = F.concat(F.left(text, F.lit(1)), F.right(text, F.lit(1)))
+    return F.when(ends.rlike(f"[{SPACE}]"), F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")).otherwise(text)
 
 
 def clean_lines(text: Column) -> Column:
@@ -37,19 +38,20 @@ def token_count(text: Column) -> Column:
 def token_tail(text: Column, n: int) -> Column:
     """The last ``n`` fallback tokens with what stands between them, '' if the text has no more than n."""
     units = F.regexp_extract_all(text, F.lit(rf"(?:{TOKEN})\s*"), 0)
-    return F.when(F.size(units) > n, strip(F.array_join(F.slice(units, -n, n), ""))).otherwise(F.lit(""))
+    # a lambda over one element, so that the units are found once; they begin with a token, so only the end is stripped
+    tail = F.transform(F.array(units), lambda u: F.when(F.size(u) > n, F.regexp_replace(F.array_join(F.slice(u, -n, n), ""), f"[{SPACE}]+$", "")).otherwise(F.lit("")))
+    return tail[0]
 
 
 def _led_by(sep: str):
-    return lambda piece: F.concat(F.lit(sep), piece)
+    return lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.lit(sep), piece))
 
 
 def split_by_separators(text: Column) -> Column:
     """Pieces at the first separator present (blank line, line end, full stop, space); separators stay in front of later pieces, blank pieces go."""
     out = F.array(text)
     for sep, pattern in ((" ", " "), (". ", r"\. "), ("\n", "\n"), ("\n\n", "\n\n")):
-        parts = F.split(text, pattern, -1)
-        kept = F.concat(F.slice(parts, 1, 1), F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), _led_by(sep)))
+        kept = F.transform(F.split(text, pattern, -1), _led_by(sep))
         out = F.when(F.contains(text, F.lit(sep)), F.filter(kept, lambda p: p.rlike(f"[^{SPACE}]"))).otherwise(out)
     return out
 
@@ -57,21 +59,27 @@ def split_by_separators(text: Column) -> Column:
 def greedy_merge(pieces: Column, limit: int) -> Column:
     """Neighbouring pieces joined by a line end while the joined text has at most ``limit`` tokens.
 
-    Counts are additive, so running totals replace counting the growing text again.
+    Counts are additive, so running totals replace counting the growing text again, and
+    only the ends that a join makes are stripped, not the growing text.
     """
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("text"), F.lit(0).alias("n"), F.lit(False).alias("joined"))
+    led = lambda x: F.when(F.left(x, F.lit(1)).rlike(f"[{SPACE}]"), F.regexp_replace(x, f"^[{SPACE}]+", "")).otherwise(x)
+    trailed = lambda x: F.when(F.right(x, F.lit(1)).rlike(f"[{SPACE}]"), F.regexp_replace(x, f"[{SPACE}]+$", "")).otherwise(x)
 
-    def step(acc: Column, piece: Column) -> Column:
-        n = token_count(piece)
+    def step(acc: Column, item: Column) -> Column:
+        piece, n = item["piece"], item["n"]
         fits = acc["n"] + n <= limit
-        joined = F.when(acc["text"] == "", piece).otherwise(strip(F.concat(acc["text"], F.lit("\n"), piece)))
+        held = F.when(acc["joined"], acc["text"]).otherwise(led(acc["text"]))
+        joined = F.when(acc["text"] == "", piece).otherwise(F.concat(held, F.lit("\n"), trailed(piece)))
         return F.struct(
             F.when(fits | (acc["text"] == ""), acc["done"]).otherwise(F.array_append(acc["done"], acc["text"])).alias("done"),
             F.when(fits, joined).otherwise(piece).alias("text"),
             F.when(fits, acc["n"] + n).otherwise(n).alias("n"),
+            (fits & (acc["text"] != "")).alias("joined"),
         )
 
-    return F.aggregate(pieces, start, step, lambda acc: F.when(acc["text"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["text"])))
+    counted = F.transform(pieces, lambda p: F.struct(p.alias("piece"), token_count(p).alias("n")))
+    return F.aggregate(counted, start, step, lambda acc: F.when(acc["text"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["text"])))
 
 
 def is_doc_path(path: Column) -> Column:

@@ -89,8 +89,8 @@ _LINES = f"list_filter(list_transform(regexp_split_to_array(text, '{T.LINE_END}'
 
 @query(f"SELECT page_id, nullif(array_to_string({_LINES}, chr(10)), '') AS text, len({_LINES}) AS lines FROM raw_page")
 def line_clean(spark, d):
-    lines = F.filter(F.transform(F.split("text", T.LINE_END), T.strip), lambda x: x != "")
-    return _pages(spark, d).select("page_id", T.clean_lines(F.col("text")).alias("text"), F.size(lines).cast("long").alias("lines"))
+    rows = _pages(spark, d).select("page_id", T.clean_lines(F.col("text")).alias("text"), F.col("text").isNull().alias("none"))
+    return rows.select("page_id", "text", F.when(~F.col("none"), F.coalesce(F.size(F.split("text", "\n")).cast("long"), F.lit(0))).alias("lines"))
 
 
 @query(
