@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: White space as the reference's language strips it, fixed: Unicode spaces and the four information separators.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A token of the additive fallback tokenizer: a run of letters, digits and underscores, or one other visible character.
-TOKEN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+TOKEN = r"[\p{L}\p{N}_]+|[^\s\x0b\x1c-\x1f\x{85}\p{Z}\p{L}\p{N}_]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -37,7 +37,7 @@ def token_count(text: Column) -> Column:
 
 def token_tail(text: Column, n: int) -> Column:
     """The last ``n`` fallback tokens with what stands between them, '' if the text has no more than n."""
-    units = F.regexp_extract_all(text, F.lit(rf"(?:{TOKEN})\s*"), 0)
+    units = F.regexp_extract_all(text, F.lit(rf"(?:{TOKEN})[{SPACE}]*"), 0)
     # a lambda over one element, so that the units are found once; they begin with a token, so only the end is stripped
     tail = F.transform(F.array(units), lambda u: F.when(F.size(u) > n, F.regexp_replace(F.array_join(F.slice(u, -n, n), ""), f"[{SPACE}]+$", "")).otherwise(F.lit("")))
     return tail[0]

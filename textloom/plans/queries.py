@@ -208,7 +208,7 @@ def greedy_chunks(spark, d):
     return chunking.section_chunks(_pages(spark, d), MERGE_LIMIT).withColumn("pos", F.col("pos").cast("long"))
 
 
-_TAIL = lambda x, n: f"CASE WHEN len(regexp_extract_all({x}, '(?:{_TOKEN})\\s*')) > {n} THEN {_STRIP(f'''array_to_string(list_slice(regexp_extract_all({x}, '(?:{_TOKEN})\\s*'), -{n}, -1), '')''')} ELSE '' END"
+_TAIL = lambda x, n: f"CASE WHEN len(regexp_extract_all({x}, '(?:{_TOKEN})[{_SPACE}]*')) > {n} THEN {_STRIP(f'''array_to_string(list_slice(regexp_extract_all({x}, '(?:{_TOKEN})[{_SPACE}]*'), -{n}, -1), '')''')} ELSE '' END"
 _OVERLAPPED = f"""{_MERGED}, l AS (SELECT page_id, pos, text, lag(text) OVER (PARTITION BY page_id ORDER BY pos) AS before FROM k),
 t AS (SELECT page_id, pos, text, coalesce({_TAIL('before', 30)}, '') AS tail FROM l),
 o AS (SELECT page_id, pos, CASE WHEN tail <> '' THEN tail || chr(10) || text ELSE text END AS text FROM t)"""
