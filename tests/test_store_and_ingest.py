@@ -73,7 +73,7 @@ def test_engine(spark, tmp_path, data):
     first = engine.ask("how do feature flags work")
     assert first["rewritten_query"] is None and first["answer"].startswith("[extract]") and 0 < len(first["sources"]) <= 5
     second = engine.ask("and then", first["session_id"])
-    assert second["rewritten_query"] == "and then" and engine.messages.count() == 4
+    assert second["rewritten_query"] == "and then" and engine.messages().count() == engine.messages(first["session_id"]).count() == 4
     only = engine.retrieve(spark.createDataFrame([(1, "flags")], "query_id long, query string"), "metadata.source = 'blog'")
     assert all("/news/" in r.url for r in only.collect())
     job = engine.ingest(pages, ["blog", "nothing"], 3)

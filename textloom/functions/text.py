@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as the reference's language strips it, fixed: Unicode spaces and the four information separators.
+#: White space as Python strips it, fixed: Unicode spaces and the four information separators.
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A token of the additive fallback tokenizer: a run of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\x0b\x1c-\x1f\x{85}\p{Z}\p{L}\p{N}_]"

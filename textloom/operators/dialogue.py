@@ -11,6 +11,14 @@ from pyspark.sql import functions as F
 from textloom.config import EngineConfig
 
 
+#: Texts of the prompts, fixed values.
+TOLD = "Conversation so far:\n"
+ASKED = "\n\nFollow-up question: "
+WANTED = "\n\nRewritten standalone query:"
+CONTEXT = "Here is relevant documentation context:\n\n"
+QUESTION = "\n\n---\n\nUser question: "
+
+
 class Generator(Protocol):
     """Anything that turns prompts into text; called on batches inside the executors."""
 
@@ -53,7 +61,7 @@ def transcripts(messages: DataFrame, config: EngineConfig = EngineConfig()) -> D
 def rewrite_prompts(questions: DataFrame, messages: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(session_id, message, prompt): NULL prompt where there is no history and nothing to rewrite."""
     told = questions.join(transcripts(messages, config), "session_id", "left")
-    prompt = F.concat(F.lit("Conversation so far:\n"), F.col("transcript"), F.lit("\n\nFollow-up question: "), F.col("message"), F.lit("\n\nRewritten standalone query:"))
+    prompt = F.concat(F.lit(TOLD), F.col("transcript"), F.lit(ASKED), F.col("message"), F.lit(WANTED))
     return told.select("session_id", "message", prompt.alias("prompt"))
 
 
@@ -77,7 +85,7 @@ def rewritten_queries(questions: DataFrame, messages: DataFrame, generator: Gene
 def message_lists(questions: DataFrame, messages: DataFrame, contexts: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
     """(session_id, messages): the last turns, then the message itself (not its rewriting) with its context."""
     recent = last_messages(messages, 2 * config.answer_turns).groupBy("session_id").agg(in_order(F.struct("role", "content")).alias("history"))
-    prompt = F.concat(F.lit("Here is relevant documentation context:\n\n"), F.coalesce("context", F.lit("")), F.lit("\n\n---\n\nUser question: "), F.col("message"))
+    prompt = F.concat(F.lit(CONTEXT), F.coalesce("context", F.lit("")), F.lit(QUESTION), F.col("message"))
     own = F.struct(F.lit("user").alias("role"), prompt.alias("content"))
     joined = questions.join(recent, "session_id", "left").join(contexts, "session_id", "left")
     return joined.select("session_id", F.concat(F.coalesce("history", F.array().cast("array<struct<role:string,content:string>>")), F.array(own)).alias("messages"))

@@ -36,7 +36,7 @@ class ChunkStore:
         self._fs = hadoop.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._new_path = hadoop.Path
         if not self._fs.exists(self._new_path(f"{self.path}/CURRENT")):
-            self._commit(spark.createDataFrame([], schema))
+            self.commit(spark.createDataFrame([], schema))
 
     def _version(self) -> str:
         stream = self._fs.open(self._new_path(f"{self.path}/CURRENT"))
@@ -45,7 +45,8 @@ class ChunkStore:
         finally:
             stream.close()
 
-    def _commit(self, rows: DataFrame) -> None:
+    def commit(self, rows: DataFrame) -> None:
+        """Make ``rows`` the table; they may be read from its present version."""
         name = uuid.uuid4().hex
         rows.write.parquet(f"{self.path}/{name}")
         stream = self._fs.create(self._new_path(f"{self.path}/CURRENT"), True)
@@ -60,24 +61,24 @@ class ChunkStore:
         rows = cut(rows)  # embedded once, read twice
         if not order:
             rows, order = rows.withColumn("_arrival", F.monotonically_increasing_id()), (F.col("_arrival"),)
-        self._commit(upserted(self.read(), last_rows(rows, self.key, *order), self.key))
+        self.commit(upserted(self.read(), last_rows(rows, self.key, *order), self.key))
         return rows.count()
 
     def merge(self, rows: DataFrame, *order: Column) -> None:
         """Keep of each key the row greatest by ``order``, whether it is old or new."""
         both = self.read().unionByName(rows.select(*self.read().columns))
-        self._commit(last_rows(both, self.key, *order))
+        self.commit(last_rows(both, self.key, *order))
 
     def replace_page(self, url: str, rows: DataFrame) -> None:
         """Put a page's chunks in place of all it had, stale higher numbers included."""
         others = self.read().filter(~F.col("metadata.url").eqNullSafe(url))
-        self._commit(others.unionByName(rows.select(*others.columns)))
+        self.commit(others.unionByName(rows.select(*others.columns)))
 
     def delete_by_url(self, url: str) -> None:
-        self._commit(self.read().filter(~F.col("metadata.url").eqNullSafe(url)))
+        self.commit(self.read().filter(~F.col("metadata.url").eqNullSafe(url)))
 
     def clear(self) -> None:
-        self._commit(self.spark.createDataFrame([], self.read().schema))
+        self.commit(self.spark.createDataFrame([], self.read().schema))
 
     def count(self) -> int:
         return self.read().count()

@@ -19,6 +19,10 @@ from textloom.operators.store import ChunkStore
 from textloom.schemas import MESSAGE
 
 
+#: Folders over which sessions are spread.
+BUCKETS = 256
+
+
 @dataclass
 class Job:
     """State of a background job."""
@@ -41,10 +45,19 @@ class Engine:
         self.tokenizer, self.embedder = tokenizer or FallbackTokenizer(), embedder or HashingEmbedder()
         self.generator = generator or dialogue.ExtractiveStub()
         self.store = ChunkStore(spark, f"{path}/chunks")
-        self.messages = ChunkStore(spark, f"{path}/messages", f"key string, {MESSAGE}", "key")
+        self._messages_path = f"{path}/messages"
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._messages_path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
         self._jobs: dict[str, Job] = {}
         self._pool = ThreadPoolExecutor(1)
 
+    def messages(self, session_id: str | None = None) -> DataFrame:
+        """Messages of one session, or of all; a session lies in one of ``BUCKETS`` folders, the only one read for it."""
+        rows = self.spark.read.schema(f"{MESSAGE}, bucket int").parquet(self._messages_path)
+        if session_id is not None:
+            rows = rows.filter((F.col("bucket") == F.pmod(F.xxhash64(F.lit(session_id)), F.lit(BUCKETS))) & (F.col("session_id") == session_id))
+        return rows.drop("bucket")
+
     def index(self, pages: DataFrame, clear: bool = False, replace_pages: bool = False) -> DataFrame:
         """Chunk, embed and upsert pages; gives (pages, chunks, average)."""
         chunks = page_chunks(pages, self.config, self.tokenizer).withColumn("embedding", embedded(F.col("text"), self.embedder))
@@ -53,11 +66,11 @@ class Engine:
         if replace_pages:
             own = pages.select("url").distinct()
             kept = self.store.read().withColumn("url", F.col("metadata.url")).join(own, "url", "left_anti").drop("url")
-            self.store._commit(kept)
+            self.store.commit(kept)
         self.store.upsert(chunks)
-        n = pages.agg(F.count("*").alias("pages"))
-        m = self.store.read().join(pages.select(F.col("url").alias("u")).distinct(), F.col("metadata.url") == F.col("u"), "left_semi").agg(F.count("*").alias("chunks"))
-        return n.crossJoin(m).withColumn("average", F.try_divide("chunks", "pages"))  # one row each
+        own = self.store.read().join(pages.select(F.col("url").alias("u")).distinct(), F.col("metadata.url") == F.col("u"), "left_semi")
+        counts = self.spark.createDataFrame([(pages.count(), own.count())], "pages long, chunks long")
+        return counts.withColumn("average", F.try_divide("chunks", "pages"))
 
     def retrieve(self, queries: DataFrame, where: str | None = None) -> DataFrame:
         """Merged best contexts of (query_id, query); ``where`` filters on the chunks' metadata below the search."""
@@ -72,7 +85,7 @@ class Engine:
     def ask(self, message: str, session_id: str | None = None) -> dict:
         """Answer one message within its session: {answer, sources, session_id, rewritten_query}."""
         session = session_id or str(uuid.uuid4())
-        history = self.messages.read().filter(F.col("session_id") == session)
+        history = dialogue.last_messages(self.messages(session), 2 * self.config.session_turns)
         question = self.spark.createDataFrame([(session, message)], "session_id string, message string")
         told = dialogue.rewritten_queries(question, history, None, self.config).first()
         queries = self.spark.createDataFrame([(0, told.query)], "query_id long, query string")
@@ -81,10 +94,11 @@ class Engine:
         prompt = dialogue.message_lists(question, history, context, self.config).select(F.element_at("messages", -1)["content"].alias("p")).first().p
         answer = self.generator.generate(pd.Series([prompt])).iloc[0]
         sources = [{"url": r.url, "title": r.title} for r in retrieval.cited_sources(merged).orderBy("position").collect()]
-        grown = dialogue.appended(history, question.withColumn("answer", F.lit(answer)), self.config)
-        keyed = grown.select(F.concat_ws("#", "session_id", "pos").alias("key"), "session_id", "pos", "role", "content", F.current_timestamp().alias("sent_at"))
-        others = self.messages.read().filter(F.col("session_id") != session)
-        self.messages._commit(others.unionByName(keyed))
+        # only the new turn is written; histories are cut to what is kept when they are read
+        last = history.agg(F.max("pos")).first()[0]
+        grown = dialogue.appended(history, question.withColumn("answer", F.lit(answer)), self.config).filter(F.col("pos") > (-1 if last is None else last))
+        rows = grown.withColumns({"sent_at": F.current_timestamp(), "bucket": F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")})
+        rows.coalesce(1).write.mode("append").partitionBy("bucket").parquet(self._messages_path)
         return {"answer": answer, "sources": sources, "session_id": session, "rewritten_query": told.rewritten}
 
     def health(self) -> dict:
