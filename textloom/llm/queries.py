@@ -131,7 +131,20 @@ FROM raw_page WHERE source IN ('blog', 'community')),
 f AS (SELECT page_id, site, line_no, {_FOLDED} AS k FROM l),
 often AS (SELECT site, k FROM f WHERE length(k) >= 20 GROUP BY site, k HAVING count(DISTINCT page_id) >= 6)
 """
+_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+_P2 = f"""WITH w AS (SELECT page_id, {_WORDS} AS w FROM raw_page WHERE source IS NULL OR source = 'github'),
+s AS (SELECT DISTINCT page_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT page_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 50)),
+n AS (SELECT page_id, count(*) AS n FROM s GROUP BY page_id),
+p AS (SELECT a.page_id AS a, b.page_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.page_id < b.page_id GROUP BY 1, 2)
+SELECT a AS page_id_a, b AS page_id_b FROM p JOIN n x ON x.page_id = a JOIN n y ON y.page_id = b WHERE 10 * k >= 6 * (x.n + y.n - k)"""
+_RUNS = lambda table, key: f"SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 9), ' ') AS s FROM (SELECT {key}, w, unnest(range(1, len(w) - 8)) AS i FROM (SELECT {key}, {_WORDS} AS w FROM {table}) WHERE len(w) >= 10)"
 SQL: dict[str, str] = {
+    "p2_found": _P2,
+    "p7_clean": _P7_LINES
+    + """SELECT p.page_id, count(*) FILTER (WHERE o.k IS NOT NULL) AS lines_cut, coalesce(string_agg(line, chr(10) ORDER BY f.line_no) FILTER (WHERE o.k IS NULL), CASE WHEN any_value(p.text) IS NOT NULL THEN '' END) AS text
+FROM raw_page p LEFT JOIN l ON l.page_id = p.page_id LEFT JOIN f ON f.page_id = l.page_id AND f.line_no = l.line_no LEFT JOIN often o ON f.k = o.k AND f.site IS NOT DISTINCT FROM o.site
+WHERE p.source IN ('blog', 'community') GROUP BY p.page_id""",
+    "p9_found": f"WITH d AS ({_RUNS('documents', 'doc_id')}), i AS ({_RUNS('eval_item', 'item_id')}) SELECT DISTINCT doc_id, item_id FROM d JOIN i USING (s)",
     "p5_found": "SELECT id FROM (SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunk) WHERE r = 1 AND length(text) > 4000",
     "p7_found": _P7_LINES + "SELECT f.page_id, f.line_no FROM f JOIN often o ON f.k = o.k AND f.site IS NOT DISTINCT FROM o.site",
 }
