@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 SPACE = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A token of the additive fallback tokenizer: a run of letters, digits and underscores, or one other visible character.
 TOKEN = r"[\p{L}\p{N}_]+|[^\s\x0b\x1c-\x1f\x{85}\p{Z}\p{L}\p{N}_]"
+#: Where texts are cut into pieces, the coarsest first. Fixed values.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -50,8 +54,8 @@ def _led_by(sep: str):
 def split_by_separators(text: Column) -> Column:
     """Pieces at the first separator present (blank line, line end, full stop, space); separators stay in front of later pieces, blank pieces go."""
     out = F.array(text)
-    for sep, pattern in ((" ", " "), (". ", r"\. "), ("\n", "\n"), ("\n\n", "\n\n")):
-        kept = F.transform(F.split(text, pattern, -1), _led_by(sep))
+    for sep in reversed(SEPARATORS):
+        kept = F.transform(F.split(text, re.escape(sep), -1), _led_by(sep))
         out = F.when(F.contains(text, F.lit(sep)), F.filter(kept, lambda p: p.rlike(f"[^{SPACE}]"))).otherwise(out)
     return out
 

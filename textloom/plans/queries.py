@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textloom.config import EngineConfig
 from textloom.functions import text as T
 from textloom.operators import chunking, dialogue, ingest, retrieval
 from textloom.operators.store import ChunkStore, last_rows, upserted
@@ -30,8 +31,10 @@ def query(sql: str | None = None):
     return register
 
 
-_SPACE = T.SPACE
-_TOKEN = T.TOKEN
+# patterns of the SQL, written out here so that a wrong one of the operators shows
+_SPACE = r"\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t-\r\x1c- \x{85}]"
+_LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 _STRIP = lambda x: f"regexp_replace({x}, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g')"
 _COUNT = lambda x: f"len(regexp_extract_all({x}, '{_TOKEN}'))"
 _KEY = r"""CASE WHEN source IS NULL THEN '' ELSE source || '_' END || regexp_replace(regexp_replace(replace(url, 'https://' || site || '/', ''), '^/+|/+$', '', 'g'), '[^\p{L}\p{N}_\-]', '_', 'g') || '.json'"""
@@ -84,7 +87,7 @@ def repo_addresses(spark, d):
     return table(spark, d, "repo_file").select("repo", "path", F.concat(F.lit("https://git.example/"), "repo", F.lit("/blob/main/"), "path").alias("url"), F.concat(F.lit("https://raw.git.example/"), "repo", F.lit("/main/"), "path").alias("raw_url")).distinct()
 
 
-_LINES = f"list_filter(list_transform(regexp_split_to_array(text, '{T.LINE_END}'), lambda x: {_STRIP('x')}), lambda x: x <> '')"
+_LINES = f"list_filter(list_transform(regexp_split_to_array(text, '{_LINE_END}'), lambda x: {_STRIP('x')}), lambda x: x <> '')"
 
 
 @query(f"SELECT page_id, nullif(array_to_string({_LINES}, chr(10)), '') AS text, len({_LINES}) AS lines FROM raw_page")
@@ -94,7 +97,7 @@ def line_clean(spark, d):
 
 
 @query(
-    rf"""SELECT page_id, split_part(breadcrumbs[1], '/', -1) || ': ' || coalesce({_STRIP("regexp_replace(list_filter(regexp_split_to_array(text, '" + T.LINE_END + "'), lambda x: starts_with(x, '# '))[1], '^[# ]+', '')")}, split_part(replace(breadcrumbs[2], '.md', ''), '/', -1)) AS title
+    rf"""SELECT page_id, split_part(breadcrumbs[1], '/', -1) || ': ' || coalesce({_STRIP("regexp_replace(list_filter(regexp_split_to_array(text, '" + _LINE_END + "'), lambda x: starts_with(x, '# '))[1], '^[# ]+', '')")}, split_part(replace(breadcrumbs[2], '.md', ''), '/', -1)) AS title
 FROM raw_page WHERE source = 'github' AND len(breadcrumbs) = 2"""
 )
 def markdown_titles(spark, d):
@@ -103,7 +106,7 @@ def markdown_titles(spark, d):
 
 
 @query(
-    rf"""WITH l AS (SELECT page_id, unnest(regexp_split_to_array(text, '{T.LINE_END}')) AS line, generate_subscripts(regexp_split_to_array(text, '{T.LINE_END}'), 1) AS n FROM raw_page WHERE source = 'github'),
+    rf"""WITH l AS (SELECT page_id, unnest(regexp_split_to_array(text, '{_LINE_END}')) AS line, generate_subscripts(regexp_split_to_array(text, '{_LINE_END}'), 1) AS n FROM raw_page WHERE source = 'github'),
 h AS (SELECT page_id, line, row_number() OVER (PARTITION BY page_id ORDER BY n) - 1 AS pos FROM l WHERE regexp_matches(line, '^#{{1,4}}\s+.+'))
 SELECT page_id, pos, length(regexp_extract(line, '^(#{{1,4}})\s', 1)) AS level, {_STRIP(r"regexp_extract(line, '^#{1,4}\s+(.+)', 1)")} AS text FROM h"""
 )
@@ -214,6 +217,59 @@ t AS (SELECT page_id, pos, text, coalesce({_TAIL('before', 30)}, '') AS tail FRO
 o AS (SELECT page_id, pos, CASE WHEN tail <> '' THEN tail || chr(10) || text ELSE text END AS text FROM t)"""
 
 
+# the greedy merge over rows (key columns, pos, piece): one step of the recursion is one piece
+_FOLD = lambda name, rows, keys, limit: f"""{name}_c AS (SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS pos, piece, {_COUNT('piece')} AS n FROM {rows}),
+{name}_m AS (SELECT {keys}, pos, piece AS cur, n AS tot, 0 AS g FROM {name}_c WHERE pos = 1
+UNION ALL SELECT {keys}, c.pos, CASE WHEN m.tot + c.n <= {limit} THEN {_STRIP('m.cur || chr(10) || c.piece')} ELSE c.piece END, CASE WHEN m.tot + c.n <= {limit} THEN m.tot + c.n ELSE c.n END, CASE WHEN m.tot + c.n <= {limit} THEN m.g ELSE m.g + 1 END
+FROM {name}_m m JOIN (SELECT *, pos - 1 AS before FROM {name}_c) c USING ({keys}) WHERE c.before = m.pos),
+{name} AS (SELECT {keys}, g AS pos, arg_max(cur, pos) AS piece FROM {name}_m GROUP BY {keys}, g)"""
+
+
+def _page_chunks_sql(limit: int, most: int, overlap: int) -> str:
+    """Sections by second-level headings, parts by third-level ones, pieces by separators, merge, overlap, header."""
+    levels = lambda n: f"coalesce(list_transform(list_filter(headings, lambda h: h.level = {n} AND h.text <> ''), lambda h: h.text), [])"
+    return f"""WITH RECURSIVE pg AS (SELECT page_id, url, coalesce(title, '') AS title, coalesce(source, 'docs') AS source, text, {levels(2)} AS h2, {levels(3)} AS h3 FROM raw_page WHERE text <> ''),
+f AS (SELECT page_id, 0 AS k, 0::BIGINT AS upto, 0::BIGINT AS s, false AS found FROM pg
+UNION ALL SELECT page_id, k + 1, CASE WHEN hit = 0 THEN upto WHEN nx > 0 THEN upto + hit - 1 + w + nx - 1 ELSE size END, upto + hit - 1, hit > 0
+FROM (SELECT *, CASE WHEN hit > 0 AND k + 2 <= len(h2) THEN strpos(substr(text, upto + hit + w), h2[k + 2]) ELSE 0 END AS nx
+FROM (SELECT f.page_id, k, upto, text, h2, length(text) AS size, length(h2[k + 1]) AS w, strpos(substr(text, upto + 1), h2[k + 1]) AS hit FROM f JOIN pg USING (page_id) WHERE k < len(h2)))),
+spans AS (SELECT page_id, k, s, upto AS e, coalesce(lead(s) OVER (PARTITION BY page_id ORDER BY k), length(text)) AS nxt, h2[k] AS heading, text FROM f JOIN pg USING (page_id) WHERE found),
+sec AS (SELECT page_id, k, heading, {_STRIP('substr(text, s + 1, e - s)')} || CASE WHEN {_STRIP('substr(text, e + 1, nxt - e)')} <> '' THEN chr(10) || {_STRIP('substr(text, e + 1, nxt - e)')} ELSE '' END AS body FROM spans
+UNION ALL SELECT page_id, 0, '', CASE WHEN len(h2) = 0 THEN text ELSE {_STRIP('substr(text, 1, coalesce((SELECT min(s) FROM spans x WHERE x.page_id = pg.page_id), length(text)))')} END FROM pg),
+big AS (SELECT page_id, k, body, h3 FROM sec JOIN pg USING (page_id) WHERE {_COUNT('body')} > {limit}),
+g AS (SELECT page_id, k, 0 AS j, 0::BIGINT AS pos FROM big
+UNION ALL SELECT page_id, k, j + 1, CASE WHEN hit > 1 THEN pos + hit - 1 ELSE pos END FROM (SELECT g.*, strpos(substr(body, pos + 1), h3[j + 1]) AS hit FROM g JOIN big USING (page_id, k) WHERE j < len(h3))),
+cuts AS (SELECT DISTINCT page_id, k, pos FROM g),
+part AS (SELECT page_id, k, pos, CASE WHEN len(h3) = 0 THEN body ELSE {_STRIP('substr(body, pos + 1, nxt - pos)')} END AS piece FROM (SELECT page_id, k, pos, body, h3, coalesce(lead(pos) OVER (PARTITION BY page_id, k ORDER BY pos), length(body)) AS nxt FROM cuts JOIN big USING (page_id, k))),
+large AS (SELECT page_id, k, pos AS part, piece AS text, CASE WHEN contains(piece, chr(10) || chr(10)) THEN chr(10) || chr(10) WHEN contains(piece, chr(10)) THEN chr(10) WHEN contains(piece, '. ') THEN '. ' WHEN contains(piece, ' ') THEN ' ' END AS sep FROM part WHERE {_COUNT('piece')} > {most}),
+bits AS (SELECT page_id, k, part, n AS pos, CASE WHEN n = 1 THEN bit ELSE sep || bit END AS piece, sep FROM (SELECT page_id, k, part, sep, unnest(CASE WHEN sep IS NULL THEN [text] ELSE string_split(text, sep) END) AS bit, generate_subscripts(CASE WHEN sep IS NULL THEN [text] ELSE string_split(text, sep) END, 1) AS n FROM large)),
+own AS (SELECT * FROM bits WHERE sep IS NULL OR regexp_matches(piece, '[^{_SPACE}]')),
+{_FOLD('sub', 'own', 'page_id, k, part', limit)},
+items AS (SELECT page_id, k, [pos, 0] AS pos, piece FROM part WHERE {_COUNT('piece')} <= {most} AND piece <> '' UNION ALL SELECT page_id, k, [part, pos], piece FROM sub),
+{_FOLD('runs', 'items', 'page_id, k', limit)},
+ends AS (SELECT *, lag(piece) OVER (PARTITION BY page_id, k ORDER BY pos) AS before FROM runs),
+tails AS (SELECT *, coalesce({_TAIL('before', overlap)}, '') AS tail FROM ends),
+body AS (SELECT page_id, k, pos, CASE WHEN tail <> '' THEN tail || chr(10) || piece ELSE piece END AS body FROM tails
+UNION ALL SELECT page_id, k, 0, body FROM sec WHERE {_COUNT('body')} <= {limit} AND regexp_matches(body, '[^{_SPACE}]')),
+num AS (SELECT body.*, row_number() OVER (PARTITION BY page_id ORDER BY body.k, body.pos) - 1 AS chunk_index, coalesce(spans.heading, '') AS section FROM body LEFT JOIN spans USING (page_id, k))
+SELECT url || '#chunk-' || chunk_index AS id, 'Source: ' || source || ' | Page: ' || title || CASE WHEN section <> '' THEN ' | Section: ' || section ELSE '' END || ' | URL: ' || url || chr(10) || chr(10) || body AS text, url, title, section, chunk_index, source FROM num JOIN pg USING (page_id)"""
+
+
+def _chunked(spark, d, config: EngineConfig) -> DataFrame:
+    rows = chunking.page_chunks(_pages(spark, d), config)
+    return rows.select("id", "text", "metadata.url", "metadata.title", "metadata.section", F.col("metadata.chunk_index").cast("long").alias("chunk_index"), "metadata.source")
+
+
+@query(_page_chunks_sql(800, 1200, 100))
+def page_chunks(spark, d):
+    return _chunked(spark, d, EngineConfig())
+
+
+@query(_page_chunks_sql(90, 140, 12))
+def page_chunks_small(spark, d):
+    return _chunked(spark, d, EngineConfig(chunk_tokens=90, max_part_tokens=140, overlap_tokens=12))
+
+
 @query(f"{_OVERLAPPED} SELECT page_id, pos, text FROM o")
 def chunk_overlap(spark, d):
     return chunking.with_overlap(chunking.section_chunks(_pages(spark, d), MERGE_LIMIT), 30).withColumn("pos", F.col("pos").cast("long"))
@@ -221,21 +277,15 @@ def chunk_overlap(spark, d):
 
 @query(
     f"""{_MERGED} SELECT r.url || '#chunk-' || i AS id, 'Source: ' || coalesce(r.source, 'docs') || ' | Page: ' || coalesce(r.title, '') || ' | URL: ' || r.url || chr(10) || chr(10) || text AS text, i AS chunk_index
-FROM (SELECT k.page_id, k.text, row_number() OVER (PARTITION BY url ORDER BY k.page_id * 1000000 + pos) - 1 AS i, url, source, title FROM k JOIN raw_page p USING (page_id)) r"""
+FROM (SELECT k.page_id, k.text, row_number() OVER (PARTITION BY url ORDER BY k.page_id, pos) - 1 AS i, url, source, title FROM k JOIN raw_page p USING (page_id)) r"""
 )
 def chunk_records(spark, d):
     pages = _pages(spark, d)
     merged = chunking.section_chunks(pages, MERGE_LIMIT).join(pages.select("page_id", "url", "title", "source"), "page_id")
-    rows = chunking.chunk_rows(merged.withColumn("pos", F.col("page_id") * 1_000_000 + F.col("pos")).withColumn("section", F.lit("")))
+    rows = chunking.chunk_rows(merged.withColumn("pos", F.struct("page_id", "pos")).withColumn("section", F.lit("")))
     return rows.select("id", "text", F.col("metadata.chunk_index").cast("long").alias("chunk_index"))
 
 
-@query()
-def page_chunks(spark, d):
-    rows = chunking.page_chunks(_pages(spark, d))
-    return rows.select("id", "text", "metadata.url", "metadata.title", "metadata.section", F.col("metadata.chunk_index").cast("long").alias("chunk_index"), "metadata.source")
-
-
 _LAST_CHUNK = "(SELECT id, text, metadata FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS r FROM chunk WHERE id IS NOT NULL) WHERE r = 1)"
 
 
