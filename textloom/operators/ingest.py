@@ -35,6 +35,11 @@ def crawl_stats(listed: DataFrame, selected: DataFrame, outcome: DataFrame, grou
     return rows.select(group, "success", "failed", (F.col("total") - F.col("chosen")).alias("skipped"))
 
 
+def found_counts(listed: DataFrame, group: str = "source") -> DataFrame:
+    """(group, found): how many different addresses each group offers; partial counts come before the shuffle."""
+    return listed.filter((F.col("url") != "") & F.col("url").isNotNull()).groupBy(group, "url").agg(F.lit(1).alias("one")).groupBy(group).agg(F.count("*").alias("found"))
+
+
 def stats_by_source(stats: DataFrame, group: str = "source") -> DataFrame:
     """One row with a map from source to its counters."""
     entry = F.struct(F.col(group), F.struct("success", "failed", "skipped"))
