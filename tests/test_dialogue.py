@@ -78,3 +78,10 @@ def test_streams_equal_batches(spark, data, tmp_path):
     store = P.ChunkStore(spark, str(tmp_path / "store"), "id string, at bigint")
     P.upsert_stream(P.table_stream(spark, f"{land}/part", "id string, at bigint", 1), store, "at", str(tmp_path / "c")).awaitTermination()
     assert key(store.read()) == key(chunks.groupBy("id").agg(F.max("at").alias("at")))
+
+
+def test_idle_sessions_begin_anew(spark):
+    rows = spark.sql("select 's' as session_id, cast(p as bigint) as pos, 'user' as role, 'm' as content, timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) as sent_at from values (0, 0), (1, 60), (2, 2000), (3, null), (4, 2100) as t(p, s)")
+    at = lambda s: F.expr(f"timestamp'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {s})")
+    assert sorted(r.pos for r in D.live_messages(rows, at(3900)).collect()) == [2, 3, 4]
+    assert D.live_messages(rows, at(3901)).isEmpty() and D.live_messages(rows.limit(0), at(0)).isEmpty()

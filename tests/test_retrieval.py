@@ -27,11 +27,11 @@ def test_nearest_equals_brute_force_with_blocks(spark, data, monkeypatch):
     assert got == {q: _brute(rows, rows[q], 8) for q in rows if q % 20 == 0}
 
 
-def test_cell_search_recall(spark, data):
+def test_cell_search_recall(spark, data, tmp_path):
     corpus = spark.read.parquet(f"{data}/embeddings.parquet")
     queries = corpus.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     exact = {(r.query_id, r.vec_id) for r in R.nearest(queries, corpus, 8).collect()}
-    near = {(r.query_id, r.vec_id) for r in R.CellIndex().fit(corpus).search(queries, corpus, 8).collect()}
+    near = {(r.query_id, r.vec_id) for r in R.CellIndex().fit(corpus).store(corpus, str(tmp_path / "cells")).search(queries, 8).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
 
 
@@ -67,3 +67,28 @@ def test_equal_distances_keep_the_order_of_first_pages(spark):
 def test_embedder_is_deterministic(spark):
     df = spark.createDataFrame([("Alpha beta",), ("alpha BETA",), (None,)], "t string").select(embedded(F.col("t"), HashingEmbedder(16)).alias("e")).collect()
     assert df[0].e == df[1].e and len(df[0].e) == 16 and not any(df[2].e)
+
+
+def test_nearest_keeps_the_best_over_many_tiles(monkeypatch):
+    rng = np.random.default_rng(1)
+    best, all_d = R.Nearest(3, 4), []
+    for start in range(0, 60, 20):
+        d = np.round(rng.random((3, 20)), 1)
+        best.see(np.arange(3), d, np.arange(start, start + 20))
+        all_d.append(d)
+    d = np.concatenate(all_d, axis=1)
+    for q in range(3):
+        assert best.owner[best.query == q].tolist() == sorted(range(60), key=lambda i: (d[q, i], i))[:4]
+
+
+def test_thresholds_hold_at_any_size(spark):
+    from textloom.operators import sampling as S
+
+    assert S.threshold(10, 5) == S.LOWEST + S.SPAN - 1 and abs(S.rate(S.threshold(1000, 10**11)) - 1e-8) < 1e-15
+    rows = spark.range(200_000).withColumnRenamed("id", "k")
+    assert rows.filter(S.drawn(F.col("k"), S.threshold(9, 5))).count() == 200_000
+    assert 800 < rows.filter(S.drawn(F.col("k"), S.threshold(1000, 200_000))).count() < 1200
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        S.required(0, 10**11, "anything")

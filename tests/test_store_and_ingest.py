@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom.config import EngineConfig
 from textloom.operators import ingest
-from textloom.operators.store import ChunkStore, last_rows
+from textloom.operators.store import ChunkStore, ConcurrentChange, last_rows
 from textloom.plans.engine import Engine
 
 ROW = "id string, text string, metadata struct<url: string>, n int"
@@ -37,6 +37,19 @@ def test_store(spark, tmp_path):
     assert store.count() == 0 and store.read().columns == ["id", "text", "metadata", "n"]
 
 
+def test_store_rewrites_touched_buckets_and_tells_two_writers_apart(spark, tmp_path):
+    store = ChunkStore(spark, str(tmp_path / "s"), ROW, buckets=16)
+    store.upsert(_rows(spark, *((f"u{k}#chunk-{n}", "x", f"u{k}", n) for k in range(12) for n in range(3))))
+    before = store._manifest()[1]
+    store.upsert(_rows(spark, ("u3#chunk-0", "y", "u3", 0), ("u3#chunk-9", "y", "u3", 9)))
+    after = store._manifest()[1]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.count() == 37
+    store.replace_pages(spark.createDataFrame([("u3",), ("u5",)], "url string"))
+    assert store.count() == 30
+    with pytest.raises(ConcurrentChange):
+        store._write_manifest(store._manifest()[0], {})
+
+
 def test_last_rows_with_ties_and_nulls(spark):
     rows = _rows(spark, ("a", "x", "u", None), ("a", "y", "u", 1), (None, "z", "u", 5), ("b", "p", "u", None))
     assert {(r.id, r.text) for r in last_rows(rows, "id", F.col("n")).collect()} == {("a", "y"), ("b", "p")}
@@ -76,6 +89,12 @@ def test_engine(spark, tmp_path, data):
     assert second["rewritten_query"] == "and then" and engine.messages().count() == engine.messages(first["session_id"]).count() == 4
     only = engine.retrieve(spark.createDataFrame([(1, "flags")], "query_id long, query string"), "metadata.source = 'blog'")
     assert all("/news/" in r.url for r in only.collect())
+    class Echo:
+        def generate(self, prompts):
+            return prompts.map(lambda p: "rewritten" if "Rewritten standalone query" in p else "answer")
+
+    third = Engine(spark, str(tmp_path), generator=Echo()).ask("and then", first["session_id"])
+    assert third["rewritten_query"] == "rewritten" and third["answer"] == "answer"
     job = engine.ingest(pages, ["blog", "nothing"], 3)
     for _ in range(120):
         if engine.job(job)["status"] != "running":
@@ -83,6 +102,17 @@ def test_engine(spark, tmp_path, data):
         time.sleep(0.5)
     state = engine.job(job)
     assert state["status"] == "done" and state["stats"]["blog"]["success"] == 3 and state["index_size"] == engine.store.count()
+    # a later job of another source keeps what is stored, and another process reads its state
+    other = Engine(spark, str(tmp_path), EngineConfig(chunk_tokens=120, max_part_tokens=160, overlap_tokens=10), admin_token="secret")
+    with pytest.raises(PermissionError):
+        other.ingest(pages, ["docs"], 2)
+    later = other.ingest(pages, ["docs", "blog"], 2, "secret")
+    other._futures[-1].result(120)
+    state = engine.job(later)
+    assert state["stats"]["docs"]["success"] == 2 and state["stats"]["blog"]["success"] == 2 and other.pages.count() == 7
+    assert other.store.read().select("metadata.url").distinct().count() == 7
+    with pytest.raises(ValueError):
+        engine.ask("  ")
     with pytest.raises(KeyError):
         engine.job("none")
 

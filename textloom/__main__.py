@@ -1,4 +1,4 @@
-"""Command line: ``python -m textloom index|ask|count``."""
+"""Command line: ``python -m textloom scrape|index|ask|count``."""
 
 from __future__ import annotations
 
@@ -19,6 +19,12 @@ def main() -> None:
     index.add_argument("--clear", action="store_true")
     index.add_argument("--max", type=int, default=None)
     index.add_argument("--replace-pages", action="store_true")
+    scrape = commands.add_parser("scrape", help="take page files of a source into the page table")
+    scrape.add_argument("folder")
+    scrape.add_argument("--source", default="docs")
+    scrape.add_argument("--prefix", default=None, help="addresses that begin so only")
+    scrape.add_argument("--max", type=int, default=None)
+    scrape.add_argument("--force", action="store_true", help="stored pages too")
     ask = commands.add_parser("ask", help="ask a question")
     ask.add_argument("message")
     ask.add_argument("--session", default=None)
@@ -28,6 +34,8 @@ def main() -> None:
     if args.command == "index":
         row = engine.index(read_raw_pages(engine.spark, args.folder, args.max), args.clear, args.replace_pages).first()
         print(json.dumps(row.asDict()))
+    elif args.command == "scrape":
+        print(json.dumps(engine.crawl(read_raw_pages(engine.spark, args.folder), args.source, args.max, args.prefix, args.force)))
     elif args.command == "ask":
         print(json.dumps(engine.ask(args.message, args.session), ensure_ascii=False))
     else:

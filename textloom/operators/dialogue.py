@@ -45,6 +45,21 @@ def last_messages(messages: DataFrame, n: int) -> DataFrame:
     return messages.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 
+def live_messages(messages: DataFrame, now: Column, minutes: int = 30) -> DataFrame:
+    """Messages of the session as it is at ``now``: those since the last idle time of more than ``minutes``.
+
+    A session idle for longer at ``now`` has none; messages without a time belong to what came before them.
+    """
+    gap, order = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes)), Window.partitionBy("session_id").orderBy("pos")
+    at = F.last(F.col("sent_at"), True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    timed = messages.withColumn("_at", at)
+    fresh = F.coalesce((F.col("_at") > F.lag("_at").over(order) + gap).cast("int"), F.lit(0))
+    numbered = timed.withColumn("_fresh", fresh).withColumn("_part", F.sum("_fresh").over(order))
+    whole = Window.partitionBy("session_id")
+    kept = numbered.withColumn("_last", F.max("_part").over(whole)).withColumn("_until", F.max("_at").over(whole))
+    return kept.filter((F.col("_part") == F.col("_last")) & (F.col("_until").isNull() | (F.col("_until") + gap >= now))).select(*messages.columns)
+
+
 def in_order(item: Column) -> Column:
     """An aggregate: ``item`` of all rows in order of ``pos``."""
     return F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("item")))), lambda x: x["item"])

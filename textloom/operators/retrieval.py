@@ -11,39 +11,77 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions.vectors import matrix, unit
+from textloom.operators.sampling import drawn, required, threshold
 
 #: Query vectors sent to the executors at a time; the bound of what is broadcast.
 QUERY_BLOCK = 4096
+#: Distances computed at a time in a worker.
+TILE = 1 << 21
 HITS = "query_id long, vec_id long, distance double"
 
 
-def _best_of_batch(queries: np.ndarray, ids: np.ndarray, k: int):
+class Nearest:
+    """The k nearest vectors seen so far of each query of a block; ties go to the lesser id."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.bound = k, np.full(queries, np.inf)
+        self.query, self.distance, self.owner = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64)
+
+    def see(self, rows: np.ndarray, distances: np.ndarray, ids: np.ndarray) -> None:
+        """``distances`` of the queries ``rows`` to the vectors ``ids``; NaN is near nothing."""
+        distances = np.where(np.isnan(distances), np.inf, distances)
+        reach = self.bound[rows]
+        if distances.shape[1] > self.k:
+            reach = np.minimum(reach, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
+        at, column = np.nonzero((distances <= reach[:, None]) & np.isfinite(distances))
+        query, distance, owner = np.concatenate([self.query, rows[at]]), np.concatenate([self.distance, distances[at, column]]), np.concatenate([self.owner, ids[column]])
+        order = np.lexsort((owner, distance, query))
+        query, distance, owner = query[order], distance[order], owner[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query, "left")
+        keep, last = place < self.k, place == self.k - 1
+        self.query, self.distance, self.owner = query[keep], distance[keep], owner[keep]
+        self.bound[query[last]] = distance[last]
+
+
+def _best_of_partition(queries: np.ndarray, ids: np.ndarray, k: int, probes: np.ndarray | None = None):
+    """Of each partition the best k vectors for each query, so that only k rows a query are shuffled.
+
+    probes: [query, cell], the cells a query looks into; vectors then come with their cell.
+    """
     q = unit(queries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the best k of the partition for each query, so that only k rows a query are shuffled
-        far, who = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
+        best = Nearest(len(q), k)
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(q):
                 continue
             m = unit(matrix(batch.column("embedding")))
             if m.shape[1] != q.shape[1]:
                 continue
-            d = 1.0 - q @ m.T
-            d[np.isnan(d)] = np.inf
             own = batch.column("vec_id").to_numpy(zero_copy_only=False)
-            far, who = np.concatenate([far, d], axis=1), np.concatenate([who, np.broadcast_to(own, d.shape)], axis=1)
-            if far.shape[1] > k:
-                # ties go to the lesser id
-                order = np.lexsort((who, far), axis=1)[:, :k]
-                far, who = np.take_along_axis(far, order, axis=1), np.take_along_axis(who, order, axis=1)
-        keep = np.isfinite(far)
-        owner = np.broadcast_to(ids[:, None], far.shape)[keep]
-        yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(who[keep], pa.int64()), pa.array(far[keep], pa.float64())], ["query_id", "vec_id", "distance"])
+            groups = [(np.arange(len(q)), np.arange(len(m)))]
+            if probes is not None:
+                cells = batch.column("cell").to_numpy(zero_copy_only=False)
+                groups = [(np.flatnonzero((probes == c).any(axis=1)), np.flatnonzero(cells == c)) for c in np.unique(cells)]
+            for asking, there in groups:
+                step = max(1, TILE // max(1, len(asking)))
+                for a in range(0, len(there) if len(asking) else 0, step):
+                    part = there[a : a + step]
+                    best.see(asking, 1.0 - q[asking] @ m[part].T, own[part])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[best.query], pa.int64()), pa.array(best.owner, pa.int64()), pa.array(best.distance, pa.float64())], ["query_id", "vec_id", "distance"])
 
     return run
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, vectors) of the query set in blocks of about ``QUERY_BLOCK`` rows."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    for b in range(blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
+        held = rows.select("query_id", "embedding").filter("embedding is not null and query_id is not null").orderBy("query_id").toArrow()
+        yield held.column("query_id").to_numpy(), matrix(held.column("embedding")) if held.num_rows else np.zeros((0, 1))
+
+
 def rank_hits(hits: DataFrame, k: int) -> DataFrame:
     """The k nearest of each query with their rank from 1; ties by id."""
     order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
@@ -57,87 +95,89 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     partition's vectors by one matrix product; a filter on ``corpus`` is applied below the
     search. NULL, empty and zero vectors are near nothing.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries
-        held = rows.select("query_id", "embedding").filter("embedding is not null").orderBy("query_id").toArrow()
-        ids = held.column("query_id").to_numpy()
-        vectors = matrix(held.column("embedding")) if held.num_rows else np.zeros((0, 1))
-        parts.append(corpus.select("vec_id", "embedding").mapInArrow(_best_of_batch(vectors, ids, k), HITS))
+    parts = [corpus.filter("vec_id is not null").select("vec_id", "embedding").mapInArrow(_best_of_partition(vectors, ids, k), HITS) for ids, vectors in _query_blocks(queries)]
     return rank_hits(reduce(DataFrame.unionByName, parts), k)
 
 
 class CellIndex:
     """Approximate search: every vector lies in the cell of its nearest centre; a query looks into the nearest cells.
 
-    Centres are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id); all
-    vectors are indexed. The number of cells to probe is chosen on the sample, so that nearly
-    all of its true neighbours are met; p of c cells hold about p / c of the vectors.
+    Centres are fitted on a bounded sample (``SAMPLE`` vectors by hash of the id, at most
+    ``MOST_CELLS`` of them); all vectors are indexed. ``store`` writes them once, one folder a
+    cell, and ``search`` reads the folders of the probed cells only. The number of cells to probe
+    is chosen on sampled vectors that fitted no centre, so that nearly all of their true
+    neighbours among the sample are met; p of c cells hold about p / c of the vectors.
     """
 
-    SAMPLE = 20_000
+    SAMPLE, MOST_CELLS = 20_000, 4096
 
     def __init__(self, cells: int | None = None, probes: int | None = None, rounds: int = 8) -> None:
-        self.cells, self.probes, self.rounds, self.centres = cells, probes, rounds, None
+        self.cells, self.probes, self.rounds, self.centres, self.path = cells, probes, rounds, None, None
 
     def fit(self, corpus: DataFrame) -> CellIndex:
+        corpus = corpus.filter("vec_id is not null and embedding is not null")
         n = corpus.count()
-        rate = int(min(1.0, self.SAMPLE / max(1, n)) * 1_000_000)
-        held = corpus.filter(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < rate).select("vec_id", "embedding").filter("embedding is not null").orderBy("vec_id").toArrow()
-        m = unit(matrix(held.column("embedding")))
+        held = corpus.filter(drawn(F.col("vec_id"), threshold(self.SAMPLE, n))).select("vec_id", "embedding").toArrow().sort_by("vec_id")
+        required(held.num_rows, n, "the centres of cells")
+        m = unit(matrix(held.column("embedding"))) if held.num_rows else np.zeros((0, 1))
         m = m[~np.isnan(m).any(axis=1)]
-        cells = self.cells or max(1, int(np.sqrt(n)) // 2)
+        cells = min(self.MOST_CELLS, self.cells or max(1, int(np.sqrt(n)) // 2))
         rng = np.random.default_rng(0)
-        centres = m[rng.choice(len(m), min(cells, len(m)), replace=False)] if len(m) else np.zeros((1, 1))
+        apart = np.zeros(len(m), bool)
+        apart[:: max(2, len(m) // 256)] = len(m) > 20 * cells
+        fitted = m[~apart]
+        centres = fitted[rng.choice(len(fitted), min(cells, len(fitted)), replace=False)] if len(fitted) else np.zeros((1, m.shape[1]))
         for _ in range(self.rounds):
-            near = (m @ centres.T).argmax(axis=1)
+            near = (fitted @ centres.T).argmax(axis=1)
             for c in range(len(centres)):
                 if (near == c).any():
-                    v = m[near == c].sum(axis=0)
+                    v = fitted[near == c].sum(axis=0)
                     centres[c] = v / max(1e-12, np.linalg.norm(v))
         self.centres = centres
-        self.probes = self.probes or self._probes_for(m)
+        self.probes = self.probes or self._probes_for(m, m[apart] if apart.any() else m[:: max(1, len(m) // 256)])
         return self
 
-    def _probes_for(self, m: np.ndarray, k: int = 10, share: float = 0.96) -> int:
-        """Least number of cells in which ``share`` of the sample's true neighbours of some of its vectors lie."""
+    def _probes_for(self, m: np.ndarray, q: np.ndarray, k: int = 10, share: float = 0.97) -> int:
+        """Least number of cells in which ``share`` of the true neighbours of ``q`` among the sample lie."""
         if len(m) <= k or len(self.centres) == 1:
             return len(self.centres)
-        q = m[:: max(1, len(m) // 256)]
         near = np.argpartition(-(q @ m.T), k, axis=1)[:, : k + 1]
         cell = (m @ self.centres.T).argmax(axis=1)
         place = np.argsort(np.argsort(-(q @ self.centres.T), axis=1), axis=1)
         return int(np.quantile(np.take_along_axis(place, cell[near], axis=1), share)) + 1
 
-    def _cells(self, column: str, count: int):
-        centres = self.centres
+    def nearest_cells(self, vectors: np.ndarray, count: int) -> np.ndarray:
+        """[vector, place]: the nearest cells of each; vectors of another length or without direction lie anywhere."""
+        m = unit(vectors)
+        s = np.nan_to_num(m @ self.centres.T, nan=-2.0) if m.shape[1:] == self.centres.shape[1:] else np.full((len(m), len(self.centres)), -2.0)
+        return np.argsort(-s, axis=1, kind="stable")[:, :count]
+
+    def placed(self, corpus: DataFrame) -> DataFrame:
+        """(vec_id, embedding, cell) of every vector."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                m = unit(matrix(batch.column("embedding")))
-                s = np.nan_to_num(m @ centres.T, nan=-2.0) if m.shape[1:] == centres.shape[1:] else np.full((len(m), len(centres)), -2.0)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :count]
-                flat = pa.array(best.ravel().astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(column), batch.column("embedding"), pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * best.shape[1], pa.int32()), flat)], [column, "embedding", "cells"])
-
-        return run
+                best = self.nearest_cells(matrix(batch.column("embedding")), 1)[:, 0] if batch.num_rows else np.zeros(0)
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"), pa.array(best.astype(np.int32))], ["vec_id", "embedding", "cell"])
 
-    def search(self, queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
-        """Like ``nearest``, among the vectors of the probed cells; one equi-join on the cell."""
-        fields = lambda c: f"{c} long, embedding array<float>, cells array<int>"
-        q = queries.select("query_id", "embedding").mapInArrow(self._cells("query_id", min(self.probes, len(self.centres))), fields("query_id")).select("query_id", F.col("embedding").alias("q"), F.explode("cells").alias("cell"))
-        v = corpus.select("vec_id", "embedding").mapInArrow(self._cells("vec_id", 1), fields("vec_id")).select("vec_id", "embedding", F.col("cells")[0].alias("cell"))
+        return corpus.filter("vec_id is not null").select("vec_id", "embedding").mapInArrow(run, "vec_id long, embedding array<float>, cell int")
 
-        def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                a, b = unit(matrix(batch.column("q"))), unit(matrix(batch.column("embedding")))
-                d = 1.0 - (a * b).sum(axis=1) if a.shape == b.shape else np.full(len(a), np.nan)
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("vec_id"), pa.array(d, pa.float64())], ["query_id", "vec_id", "distance"])
+    def store(self, corpus: DataFrame, path: str) -> CellIndex:
+        """Write all vectors below ``path``, one folder for each cell; large cells are several files."""
+        self.placed(corpus).hint("rebalance", "cell").write.partitionBy("cell").mode("overwrite").parquet(path)
+        self.path = path
+        return self
 
-        pairs = q.join(v, "cell").select("query_id", "vec_id", "q", "embedding").mapInArrow(distances, HITS)
-        return rank_hits(pairs.filter(~F.isnan("distance")), k)
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """Like ``nearest``, among the stored vectors of the probed cells; queries go out in blocks, so a hot cell is no hot key."""
+        stored = queries.sparkSession.read.schema("vec_id long, embedding array<float>, cell int").parquet(self.path)
+        parts = []
+        for ids, vectors in _query_blocks(queries):
+            probes = self.nearest_cells(vectors, min(self.probes, len(self.centres))) if len(ids) else np.zeros((0, 1), int)
+            wanted = np.unique(probes).tolist()  # at most MOST_CELLS
+            rows = stored.filter(F.col("cell").isin(wanted) if wanted else F.lit(False))
+            parts.append(rows.mapInArrow(_best_of_partition(vectors, ids, k, probes), HITS))
+        return rank_hits(reduce(DataFrame.unionByName, parts), k)
 
 
 def merge_adjacent(hits: DataFrame) -> DataFrame:

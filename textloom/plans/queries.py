@@ -301,22 +301,52 @@ def chunks_per_page(spark, d):
     return pages.groupBy("source").agg(F.sum("n").alias("chunks"), F.count("url").alias("pages"), F.round(F.try_divide(F.sum("n"), F.count("url")), 6).alias("average"))
 
 
-@query(
-    """WITH o AS (SELECT id, max(indexed_at) AS t FROM chunk WHERE id IS NOT NULL AND indexed_at < TIMESTAMPTZ '2025-06-01 00:00:00+00' GROUP BY id),
-n AS (SELECT id, max(indexed_at) AS t FROM chunk WHERE id IS NOT NULL AND indexed_at >= TIMESTAMPTZ '2025-06-01 00:00:00+00' GROUP BY id)
-SELECT id, epoch_us(t) AS indexed_us FROM n UNION ALL SELECT id, epoch_us(t) FROM o WHERE id NOT IN (SELECT id FROM n)"""
-)
+_MICROS = "coalesce(epoch_us(indexed_at), -4611686018427387904)"
+# of equal times the greater text
+_LATEST = f"SELECT id, text, metadata, {_MICROS} AS indexed_us FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST, text DESC NULLS LAST) AS r FROM chunk WHERE id IS NOT NULL) WHERE r = 1"
+_STORED_ROW = "id string, text string, metadata struct<url: string>, indexed_us bigint"
+
+
+def _store_rows(spark, d) -> DataFrame:
+    at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**62)))
+    return table(spark, d, "chunk").filter("id is not null").select("id", "text", F.struct(F.col("metadata.url").alias("url")).alias("metadata"), at.alias("indexed_us"))
+
+
+def _filled_store(spark, d, name: str) -> ChunkStore:
+    """A store that got the rows before June 2025 first and the others after them."""
+    rows, middle = _store_rows(spark, d), F.unix_micros(F.lit("2025-06-01 00:00:00").cast("timestamp"))
+    store = ChunkStore(spark, shared_path(spark, name), _STORED_ROW)
+    for part in (rows.filter(F.col("indexed_us") < middle), rows.filter(F.col("indexed_us") >= middle)):
+        store.upsert(part, F.col("indexed_us"), F.col("text"))
+    return store
+
+
+@query(f"SELECT id, text, indexed_us FROM ({_LATEST})")
 def index_upsert(spark, d):
-    rows = table(spark, d, "chunk").filter("indexed_at is not null").select("id", F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("indexed_us"))
-    cut = F.unix_micros(F.lit("2025-06-01 00:00:00").cast("timestamp"))
-    old, new = (last_rows(rows.filter(c), "id", F.col("indexed_us")) for c in (F.col("indexed_us") < cut, F.col("indexed_us") >= cut))
-    return upserted(old, new, "id")
+    return _filled_store(spark, d, "upsert").read().select("id", "text", "indexed_us")
 
 
-@query(f"SELECT metadata.url AS url, count(*) AS chunks FROM {_LAST_CHUNK} WHERE coalesce(metadata.source, 'docs') <> 'github' GROUP BY 1")
+@query(f"SELECT metadata.url AS url, count(*) AS chunks FROM ({_LATEST}) WHERE metadata.url NOT IN (SELECT url FROM raw_page WHERE source = 'github') GROUP BY 1")
 def index_delete(spark, d):
-    kept = _last_chunks(spark, d).filter(F.coalesce("metadata.source", F.lit("docs")) != "github")
-    return kept.groupBy(F.col("metadata.url").alias("url")).agg(F.count("*").alias("chunks"))
+    store = _filled_store(spark, d, "delete")
+    store.replace_pages(_pages(spark, d).filter("source = 'github'").select("url"))
+    return store.read().groupBy(F.col("metadata.url").alias("url")).agg(F.count("*").alias("chunks"))
+
+
+@query(f"SELECT id, text FROM ({_LATEST}) WHERE metadata.url <> (SELECT max(metadata.url) FROM chunk)")
+def index_delete_page(spark, d):
+    store = _filled_store(spark, d, "delete-page")
+    store.delete_by_url(table(spark, d, "chunk").agg(F.max("metadata.url")).first()[0])
+    return store.read().select("id", "text")
+
+
+@query("SELECT 0 AS before, 0 AS after")
+def index_truncate(spark, d):
+    store = ChunkStore(spark, shared_path(spark, "truncate"), _STORED_ROW)
+    before = store.count()
+    store.upsert(_store_rows(spark, d), F.col("indexed_us"))
+    store.clear()
+    return store.read().agg(F.lit(before).cast("int").alias("before"), F.count("*").cast("int").alias("after"))
 
 
 @query("SELECT count(DISTINCT id) AS index_size FROM chunk")
@@ -349,10 +379,25 @@ def knn_filtered(spark, d):
     return retrieval.nearest(q, v.filter("label = 3"), 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
+def _cells(spark, d):
+    q, v = _vectors(spark, d)
+    index = retrieval.CellIndex().fit(v).store(v, shared_path(spark, "cells"))
+    return index.search(q, 8)
+
+
 @query()
 def knn_cells(spark, d):
+    return _cells(spark, d).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("SELECT count(*) AS queries, TRUE AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 20 = 0")
+def knn_cells_recall(spark, d):
+    """The cells' neighbours against those of the exact search."""
     q, v = _vectors(spark, d)
-    return retrieval.CellIndex().fit(v).search(q, v, 8).select("query_id", "vec_id", F.round("distance", 6).alias("distance"), F.col("rank").cast("long").alias("rank"))
+    exact = retrieval.nearest(q, v, 8).select("query_id", "vec_id")
+    found = _cells(spark, d).select("query_id", "vec_id", F.lit(1).alias("met"))
+    both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("queries"), (F.count("met") >= 0.9 * F.count("*")).alias("recall_of_nine_tenths"))
+    return both
 
 
 # the vectors of one label stand for the chunks of one page, numbered by their id
@@ -439,6 +484,25 @@ def _questions(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
 _ASKED = f"asked AS (SELECT session_id, max(pos) AS upto, arg_max(content, pos) AS message FROM {_CLEAN} WHERE role = 'user' AND content <> '' GROUP BY session_id), hist AS (SELECT c.* FROM {_CLEAN} c JOIN asked a USING (session_id) WHERE c.pos < a.upto)"
 
 
+class CountingGenerator:
+    """Answers with the prompt's length, and with nothing to prompts of an even length."""
+
+    def generate(self, prompts):
+        return prompts.map(lambda p: f" q{len(p)} " if len(p) % 2 else " ")
+
+
+@query(
+    f"""WITH {_ASKED}, b AS (SELECT session_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ': ' || substr(coalesce(content, ''), 1, 500), chr(10) ORDER BY pos) AS told
+FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS back FROM hist) WHERE back <= 6 GROUP BY session_id),
+p AS (SELECT a.session_id, message, length('Conversation so far:' || chr(10) || told || chr(10) || chr(10) || 'Follow-up question: ' || message || chr(10) || chr(10) || 'Rewritten standalone query:') AS n FROM asked a LEFT JOIN b USING (session_id)),
+r AS (SELECT session_id, message, CASE WHEN n IS NULL THEN NULL WHEN n % 2 = 1 THEN 'q' || n ELSE message END AS rewritten FROM p)
+SELECT session_id, rewritten, coalesce(rewritten, message) AS query FROM r"""
+)
+def generated_queries(spark, d):
+    asked, history = _questions(_messages(spark, d))
+    return dialogue.rewritten_queries(asked, history, CountingGenerator()).select("session_id", "rewritten", "query")
+
+
 @query(f"WITH {_ASKED} SELECT a.session_id, a.message AS query, CASE WHEN count(h.pos) > 0 THEN a.message END AS rewritten FROM asked a LEFT JOIN hist h USING (session_id) GROUP BY a.session_id, a.message")
 def standalone_queries(spark, d):
     asked, history = _questions(_messages(spark, d))
@@ -447,13 +511,13 @@ def standalone_queries(spark, d):
 
 @query(
     f"""WITH {_ASKED}, b AS (SELECT session_id, pos, role, content FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos DESC) AS back FROM hist) WHERE back <= 12),
-u AS (SELECT session_id, pos, role, content FROM b UNION ALL SELECT session_id, upto, 'user', 'Here is relevant documentation context:' || chr(10) || chr(10) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'User question: ' || message FROM asked)
+u AS (SELECT session_id, pos, role, content FROM b UNION ALL SELECT session_id, upto, 'user', 'Here is relevant documentation context:' || chr(10) || chr(10) || 'about ' || upper(message) || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'User question: ' || message FROM asked)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS n, role, content FROM u"""
 )
 def message_lists(spark, d):
     asked, history = _questions(_messages(spark, d))
-    none = asked.select("session_id", F.lit("").alias("context"))
-    rows = dialogue.message_lists(asked, history, none).select("session_id", F.posexplode("messages").alias("n", "m"))
+    contexts = asked.select("session_id", F.concat(F.lit("about "), F.upper("message")).alias("context"))
+    rows = dialogue.message_lists(asked, history, contexts).select("session_id", F.posexplode("messages").alias("n", "m"))
     return rows.select("session_id", F.col("n").cast("long").alias("n"), "m.role", "m.content")
 
 
@@ -496,13 +560,17 @@ def session_windows(spark, d):
 # -- streams, run over all that is there
 
 
-@query("SELECT id, epoch_us(max(indexed_at)) AS indexed_us FROM chunk WHERE id IS NOT NULL AND indexed_at IS NOT NULL GROUP BY id")
+@query(f"SELECT id, text, indexed_us FROM ({_LATEST})")
 def stream_ingest(spark, d):
+    """The chunk table as a stream, delivered twice: a replay changes nothing."""
     path = shared_path(spark, "stream-ingest")
-    store = ChunkStore(spark, f"{path}/store", "id string, text string, indexed_us bigint")
-    rows = pipelines.table_stream(spark, f"{d}/chunk.parquet").filter("indexed_at is not null").select("id", "text", F.unix_micros(F.col("indexed_at").cast("timestamp")).alias("indexed_us"))
-    pipelines.upsert_stream(rows, store, "indexed_us", f"{path}/checkpoint").awaitTermination()
-    return store.read().select("id", "indexed_us")
+    store = ChunkStore(spark, f"{path}/store", _STORED_ROW)
+    for run in ("first", "replay"):
+        stream = pipelines.table_stream(spark, f"{d}/chunk.parquet").filter("id is not null")
+        at = F.coalesce(F.unix_micros(F.col("indexed_at").cast("timestamp")), F.lit(-(2**62)))
+        rows = stream.select("id", "text", F.struct(F.col("metadata.url").alias("url")).alias("metadata"), at.alias("indexed_us"))
+        pipelines.upsert_stream(rows, store, "indexed_us", f"{path}/{run}", "text").awaitTermination()
+    return store.read().select("id", "text", "indexed_us")
 
 
 @query(_SESSION("events", "user_id", "ts") + " FROM s GROUP BY user_id, session HAVING max(stamp) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR")

@@ -35,7 +35,7 @@ def build_session(master: str = "local[*]", app: str = "textloom", shuffle_parti
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a throw-away one only where none is set."""
+    """Use the shared folder the cluster names; make a throw-away one only where none is set and the master is local."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if named:
         context.setCheckpointDir(named)
         return
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="textloom-checkpoint-")
     atexit.register(shutil.rmtree, own, True)
     context.setCheckpointDir(own)

@@ -19,16 +19,18 @@ def table_stream(spark: SparkSession, path: str, schema: str | None = None, file
     return spark.readStream.schema(kind).option("maxFilesPerTrigger", files_per_batch).parquet(f"{path}*")  # a pattern may be a file as well as a folder
 
 
-def upsert_stream(rows: DataFrame, store: ChunkStore, order: str, checkpoint: str):
-    """Upsert each micro-batch by key, the row greatest by ``order`` winning whenever it comes.
+def upsert_stream(rows: DataFrame, store: ChunkStore, order: str, checkpoint: str, *ties: str, every: str | None = None):
+    """Upsert each micro-batch by key, the row greatest by ``order`` and then ``ties`` winning whenever it comes.
 
     A batch delivered again, or rows that come late, change nothing, so the effect is once.
+    ``every``: run on at this pace (a rate limit on what is read and written); else end with what is there.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        store.merge(batch, F.col(order))
+        store.merge(batch, *map(F.col, (order, *ties)))
 
-    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def session_stream(accesses: DataFrame, key: str, at: str, minutes: int = 30, late: str = "2 hours") -> DataFrame:
