@@ -121,12 +121,22 @@ def sessions(accesses: DataFrame, key: str, at: str, minutes: int = 30) -> DataF
     """(key, session, started, last_access, accesses): a session ends after more than ``minutes`` idle.
 
     An access exactly at the limit still belongs to the session. Rows without a time are left out.
+
+    The accesses of each hour become sessions first, then neighbouring hours' sessions are put
+    together, so that the window over a very busy key holds a row for each of its hourly sessions
+    and not one for each access.
     """
-    rows = accesses.select(key, at).filter(F.col(at).isNotNull())
-    order = Window.partitionBy(key).orderBy(at)
-    new = F.col(at) > F.lag(at).over(order) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
-    numbered = rows.withColumn("_new", F.coalesce(new.cast("int"), F.lit(0))).withColumn("session", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
-    return numbered.groupBy(key, "session").agg(F.min(at).alias("started"), F.max(at).alias("last_access"), F.count("*").alias("accesses"))
+    gap = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    rows = accesses.select(key, F.col(at).alias("_from"), F.col(at).alias("_to")).filter(F.col(at).isNotNull()).withColumn("_hour", F.date_trunc("hour", "_from")).withColumn("_n", F.lit(1))
+
+    def joined(parts: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy("_from", "_to")
+        fresh = F.coalesce((F.col("_from") > F.lag("_to").over(order) + gap).cast("int"), F.lit(0))
+        numbered = parts.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return numbered.groupBy(*by, "session").agg(F.min("_from").alias("_from"), F.max("_to").alias("_to"), F.sum("_n").alias("_n"))
+
+    hourly = joined(rows, key, "_hour").drop("session")
+    return joined(hourly, key).select(key, "session", F.col("_from").alias("started"), F.col("_to").alias("last_access"), F.col("_n").alias("accesses"))
 
 
 def windowed_sessions(accesses: DataFrame, key: str, at: str, minutes: int = 30) -> DataFrame:
