@@ -45,11 +45,11 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    return p3.non_prose(_posts(spark, d))
+    return p3.non_prose(_crawled(spark, d), F.col("source").isin("blog", "community"))
 
 
 def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
-    return p3.quality(_posts(spark, d))
+    return p3.quality(_crawled(spark, d), F.col("source").isin("blog", "community"))
 
 
 def _docs_and_community(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
