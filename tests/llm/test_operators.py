@@ -21,6 +21,7 @@ from textloom.llm import p08_packing as p8
 from textloom.llm import p09_contamination as p9
 from textloom.llm import p10_subjects as p10
 from textloom.llm import queries as Q
+from textloom.llm.page_lines import tokens
 from textloom.llm.text import WordIds, fold, word_hashes, words
 
 
@@ -90,9 +91,16 @@ def test_components_of_a_chain(spark):
 PROSE = "We looked at the report again and the numbers did not change for the third time."
 
 
-def test_kinds_of_bodies():
+def test_labels_of_lines():
     model = p3.LineModel(common=frozenset("we at the and did not for".split()))
-    kind = lambda text: p3.page_statistics(text, None, None, None, set(), model)[-1]
+
+    def kind(text):
+        lines = text.split("\n")
+        words = [tokens(x) for x in lines]
+        kinds = p3.settle([p3.kind_of(x, False, w, model) for x, w in zip(lines, words)], lines, words)
+        odd = [p3.NAMES.get(k) for k in kinds]
+        return max(set(odd), key=odd.count)
+
     assert kind("\n".join([PROSE] * 5)) is None
     assert kind("\n".join(f"- item {k} name" for k in range(9))) == "list"
     assert kind("\n".join(f"a{k}\tb\t{k}\tok" for k in range(9))) == "table"
@@ -104,6 +112,13 @@ def test_kinds_of_bodies():
     assert kind("\n".join([PROSE] * 6 + ["- a b", "- c d"])) is None
 
 
+def test_alignment_of_neighbouring_lines():
+    counts = np.array([p3.field_counts(x) for x in ("a\tb", "c\td", "e\tf", "plain")])
+    same = p3.aligned(counts)
+    assert same[0, 0] > 0.6 and same[3].max() == 0 and p3.aligned(counts[:1]).max() == 0
+    assert p3.gap_columns(["ab   cd", "ef   gh", "x y"]).tolist() == [1.0, 1.0, 0.0]
+
+
 def test_statistics_of_layout():
     assert p3.autocorrelation([10, 50] * 6)[0] == 2 and p3.autocorrelation([10, 50] * 6)[1] > 0.7
     assert p3.indent_period(["a", "  b", "a", "  b"]) == 2 and p3.indent_period(["a", "b"]) == 0
@@ -185,7 +200,8 @@ def test_depths_do_not_depend_on_stretches(monkeypatch):
 def test_chunk_numbers_run_on(spark, data, monkeypatch):
     monkeypatch.setattr(p5, "RANGE", 3)
     chunks = _table(spark, data, "chunk")
-    rows = p5.renumbered(chunks).collect()
+    whole = [r for r in p5.renumbered(chunks).collect()]
+    rows = [r for r in whole if r.text is not None]
     count = defaultdict(int)
     for r in rows:
         count[r.id] += 1
@@ -201,6 +217,7 @@ def test_chunk_numbers_run_on(spark, data, monkeypatch):
             at += count.get(i, 1)
     assert rows and all(r.chunk_index == offset[r.id] + r.piece for r in rows)
     assert {r.id for r in rows} == {i for i, r in last.items() if len(r.text or "") > 4000}
+    assert all(r.chunk_index == offset[r.id] for r in whole if r.text is None) and {r.id for r in whole} == set(last)
 
 
 # 7

@@ -13,6 +13,7 @@ lower-cased and cut at the region, NULL is ``und``; each id counts once with its
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -22,10 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+from textloom.operators.sampling import LOWEST, SPAN, drawn, required
+
+#: Vocabulary file of a public tokenizer; the folder may be named by the environment.
+TOKENIZER = os.path.join(os.environ.get("TEXTLOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.tiktoken")
 FIT, HOLD = 700, 500
-#: Languages with a model of their own, the most frequent ones; all others share one.
-LANGUAGES = 24
 LEAST_ROWS = 40
 
 #: Classes of bytes: letters, capitals, digits, white space, line breaks, punctuation, lead bytes of two-byte letters, of ideographs and kana, of other long sequences, continuation bytes.
@@ -125,13 +127,20 @@ def language(column: str = "lang"):
 
 
 def sample_model(rows: DataFrame, tokenizer: str = TOKENIZER, fit_rows: int = FIT, hold_rows: int = HOLD) -> TokenModel:
-    """rows: (id, text, language). Samples by hash of the id, at most about fit_rows + hold_rows a language."""
-    counts = {r.language: r.n for r in rows.groupBy("language").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "language").limit(LANGUAGES).collect()}
-    if not counts:
-        return TokenModel({"": np.eye(FEATURES)[1] / 4}, {"": 1.0})
+    """rows: (id, text, language). Samples by 64-bit hash of the id, at most about fit_rows + hold_rows of every language.
+
+    Languages are as many as there are codes of letters; the pooled model serves those with few rows.
+    """
     want = fit_rows + hold_rows
-    rate = F.create_map(*[F.lit(v) for k, n in counts.items() for v in (k, int(min(1.0, want / n) * 1_000_000))])
-    drawn = rows.withColumn("draw", F.pmod(F.xxhash64("id"), F.lit(1_000_000))).filter((F.col("draw") < rate[F.col("language")]) & F.col("text").isNotNull())
+    texts = rows.filter("text is not null")
+    counts = texts.groupBy("language").agg(F.count("*").alias("n"))
+    share = F.when(F.col("n") <= want, F.lit(LOWEST + SPAN - 1)).otherwise((F.lit(float(LOWEST)) + F.lit(float(SPAN) * want) / F.col("n")).cast("long"))
+    rates = {r.language: r.below for r in counts.select("language", share.alias("below")).collect()}
+    if not rates:
+        return TokenModel({"": np.eye(FEATURES)[1] / 4}, {"": 1.0})
+    below = F.create_map(*[F.lit(v) for pair in rates.items() for v in pair])[F.col("language")]
+    drawn_rows = texts.filter(drawn(F.col("id"), below))
+    # another hash tells the two parts apart, so that either is a sample of the language
     held = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(want)) < hold_rows
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,9 +150,8 @@ def sample_model(rows: DataFrame, tokenizer: str = TOKENIZER, fit_rows: int = FI
             x = features(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("language"), batch.column("held"), pa.array(y, pa.int64()), pa.array(list(x), pa.list_(pa.float64()))], ["language", "held", "tokens", "x"])
 
-    got = drawn.select("language", "text", held.alias("held")).mapInArrow(tokenize, "language string, held boolean, tokens long, x array<double>").toArrow()
-    if not got.num_rows:
-        return TokenModel({"": np.eye(FEATURES)[1] / 4}, {"": 1.0})
+    got = drawn_rows.select("language", "text", held.alias("held")).mapInArrow(tokenize, "language string, held boolean, tokens long, x array<double>").toArrow()
+    required(got.num_rows, len(rates), "the token model")
     return fit(got["language"].to_pylist(), np.array(got["x"].to_pylist()), np.array(got["tokens"].to_pylist(), float), np.array(got["held"].to_pylist()))
 
 

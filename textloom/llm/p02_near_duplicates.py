@@ -32,6 +32,8 @@ from textloom.session import cut
 BLOCK, POSITIONS = 4, 256
 #: A posting list longer than this is split, so that no task holds all pairs of one key.
 SPLIT = 2000
+#: Parts into which the rows of a hot class are spread.
+SALTS = 16
 
 _K = np.arange(1, POSITIONS + 1, dtype=np.uint64)
 _FACTOR = (mix(_K * MIX_A) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -111,8 +113,9 @@ def classes(pages: DataFrame, width: int, min_words: int) -> DataFrame:
     signed = cut(pages.filter("page_id is not null").select("page_id", "text").mapInArrow(_signatures(width, min_words), "page_id long, class_key binary, signature binary"))
     reps = signed.groupBy("class_key").agg(F.min("page_id").alias("rep"), F.count("*").alias("n"))
     # most classes have one member: only the others need the join
-    several = reps.filter("n > 1").select("class_key", "rep")
-    return signed.join(several, "class_key", "left").select("page_id", F.coalesce("rep", "page_id").alias("rep"), "signature").dropDuplicates(["page_id"])
+    several = reps.filter("n > 1").select("class_key", "rep", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    # a page copied very often is one class: its rows are spread
+    return signed.withColumn("salt", F.pmod("page_id", F.lit(SALTS)).cast("int")).join(several, ["class_key", "salt"], "left").select("page_id", F.coalesce("rep", "page_id").alias("rep"), "signature").dropDuplicates(["page_id"])
 
 
 def candidates(reps: DataFrame, similarity: float) -> DataFrame:

@@ -166,6 +166,8 @@ def oversized_pieces(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERL
 def renumbered(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
     """(id, piece, chunk_index, text, start, end): pieces numbered on over all chunks of their page.
 
+    Chunks within the limit come with their new number, piece 0 and no text, as theirs stays as it is.
+
     The running number is a prefix sum in two steps, over ranges of chunk numbers and within
     a range, so that a page with very many chunks isn't one task.
     """
@@ -175,5 +177,7 @@ def renumbered(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) ->
     rows = rows.withColumn("part", F.floor(F.col("k") / RANGE))
     before = rows.groupBy("url", "part").agg(F.sum("n").alias("s")).withColumn("base", F.sum("s").over(Window.partitionBy("url").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("s"))
     inside = F.sum("n").over(Window.partitionBy("url", "part").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    first = rows.withColumn("inside", inside).filter("n > 1").join(before.select("url", "part", "base").withColumnRenamed("url", "page"), (F.col("url").eqNullSafe(F.col("page"))) & (rows["part"] == before["part"])).select("id", (F.col("base") + F.col("inside")).alias("first"))
-    return parts.join(first, "id").select("id", "piece", (F.col("first") + F.col("piece")).cast("long").alias("chunk_index"), "text", "start", "end")
+    first = rows.withColumn("inside", inside).join(before.select("url", "part", "base").withColumnRenamed("url", "page"), (F.col("url").eqNullSafe(F.col("page"))) & (rows["part"] == before["part"])).select("id", "n", (F.col("base") + F.col("inside")).alias("first"))
+    cut_up = parts.join(first.filter("n > 1"), "id").select("id", "piece", (F.col("first") + F.col("piece")).cast("long").alias("chunk_index"), "text", "start", "end")
+    whole = first.filter("n = 1").select("id", F.lit(0).alias("piece"), F.col("first").cast("long").alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"))
+    return cut_up.unionByName(whole)

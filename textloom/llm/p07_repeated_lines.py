@@ -98,6 +98,18 @@ def site_lines(pages: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return pages.filter("page_id is not null").select("page_id", "site", "text").mapInArrow(_page_lines(min_chars), LINES)
 
 
+def line_chunks(lines: DataFrame) -> DataFrame:
+    """(page_id, line_no, line_key, chunk_key, parts): the different chunks of every line."""
+    different = F.array_distinct("chunk_keys")
+    return lines.select("page_id", "line_no", "line_key", F.explode(different).alias("chunk_key"), F.size(different).alias("parts"))
+
+
+def repeated_chunks(chunks: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(chunk_key, pages): chunks that stand in at least ``min_pages`` different pages of their site."""
+    once = chunks.groupBy("chunk_key", "page_id").agg(F.lit(1).alias("one"))
+    return once.groupBy("chunk_key").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
+
+
 def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int = MIN_CHARS) -> DataFrame:
     """(page_id, line_no) of every occurrence of a line that stands in ``min_pages`` pages of its site.
 
@@ -106,9 +118,8 @@ def repeated_lines(pages: DataFrame, min_pages: int = MIN_PAGES, min_chars: int
     """
     lines = site_lines(pages, min_chars)
     salted = F.pmod(F.col("page_id"), F.lit(SALTS))
-    chunks = lines.select("page_id", "line_no", "line_key", F.explode(F.array_distinct("chunk_keys")).alias("chunk_key"), F.size(F.array_distinct("chunk_keys")).alias("parts"))
-    # at most one count per line: an upper bound of the pages, so no repeated chunk is lost
-    often = chunks.groupBy("chunk_key").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages).select("chunk_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    chunks = line_chunks(lines)
+    often = repeated_chunks(chunks, min_pages).select("chunk_key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     kept = (
         chunks.withColumn("salt", salted.cast("int"))
         .join(often, ["chunk_key", "salt"], "left_semi")
