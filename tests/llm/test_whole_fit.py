@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pytest
 
+from textloom.llm import p03_quality as p3
 from textloom.llm import p06_main_content as p6
 from textloom.llm import queries as Q
 from textloom.llm.text import hash64
@@ -43,3 +44,20 @@ def test_rare_link_blocks_of_a_large_site_are_learned(spark):
     found = {tuple(r) for r in p6.boilerplate_lines(spark.createDataFrame(rows, PAGE)).collect()}
     assert {(k, i) for k in range(0, 600, 100) for i in range(4, 8)} <= found
     assert not {(k, i) for k in range(600) for i in (2, 3)} & found
+
+
+# 3
+
+
+def test_kinds_are_fitted_on_the_lines_of_all_pages(spark, monkeypatch):
+    told = []
+    learn = p3.learn_kinds
+
+    def spy(x, label, *args, lines=None, **kwargs):
+        told.append(len(x) if lines is None else lines.sum())
+        return learn(x, label, *args, **kwargs) if lines is None else learn(x, label, *args, lines=lines, **kwargs)
+
+    monkeypatch.setattr(p3, "learn_kinds", spy)
+    rows = [(k, f"u{k}", None, None, "\n".join(_body(k)), "blog", "s") for k in range(600)]
+    assert p3.quality(spark.createDataFrame(rows, PAGE)).filter("kind is null").count() == 600
+    assert told == [1200]
