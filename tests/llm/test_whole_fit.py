@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from textloom.llm import p03_quality as p3
+from textloom.llm import p04_residue as p4
 from textloom.llm import p06_main_content as p6
 from textloom.llm import queries as Q
 from textloom.llm.text import hash64
@@ -61,3 +64,32 @@ def test_kinds_are_fitted_on_the_lines_of_all_pages(spark, monkeypatch):
     rows = [(k, f"u{k}", None, None, "\n".join(_body(k)), "blog", "s") for k in range(600)]
     assert p3.quality(spark.createDataFrame(rows, PAGE)).filter("kind is null").count() == 600
     assert told == [1200]
+
+
+# 4
+
+
+def test_residue_model_equals_a_fit_on_all_passages(spark, data):
+    pages, fields = Q._docs_and_community(spark, data)
+    records = pages.select("page_id", "title", "text", "headings", fields.alias("fields"))
+    coded, models = p4.fitted(records)
+    scored = coded.mapInArrow(p4._records(p4._gains(models)), "page_id long, field string, best double, positive boolean, ordinary boolean, mostly boolean").cache()
+    for field in p4.FIELDS:
+        passages, trusted, settled, record = [], [], [], []
+        for r in records.filter(F.array_contains("fields", field)).collect():
+            value = r.text if field == "text" else r.title
+            if value and not value.isspace():
+                p4.add_record(r.title, r.text, [h.asDict() for h in r.headings or ()], field, passages, trusted, settled)
+                record += [r.page_id] * (len(passages) - len(record))
+        want = p4.learn(passages, trusted, settled)
+        got = models[field]
+        assert any(trusted) and got.vocabulary == want.vocabulary and (got.pair_keys == want.pair_keys).all()
+        assert got.word_gain == pytest.approx(want.word_gain) and got.pair_gain == pytest.approx(want.pair_gain) and got.prior == pytest.approx(want.prior)
+        cut = p4.cut_of(want.scores(passages), np.array(record), np.array(trusted), np.array(settled), p4.LEAST_CUT[field])
+        assert p4._cut_over(scored, field) == pytest.approx(cut)
+
+
+def test_words_of_all_records_are_learned(spark):
+    rows = [(k, "t", None, f"{_name(k // 2)} " + "long enough to be ordinary text of the site " * 11) for k in range(4600)] + [(9999, "t", None, "503 Service Unavailable")]
+    records = spark.createDataFrame(rows, "page_id long, title string, headings array<struct<level: int, text: string>>, text string").withColumn("fields", F.array(F.lit("text")))
+    assert {_name(k) for k in range(2300)} <= p4.fitted(records)[1]["text"].vocabulary.keys()
