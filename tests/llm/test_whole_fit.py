@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.llm import p03_quality as p3
 from textloom.llm import p04_residue as p4
 from textloom.llm import p06_main_content as p6
+from textloom.llm import p10_subjects as p10
 from textloom.llm import queries as Q
 from textloom.llm.text import hash64
 
@@ -93,3 +94,35 @@ def test_words_of_all_records_are_learned(spark):
     rows = [(k, "t", None, f"{_name(k // 2)} " + "long enough to be ordinary text of the site " * 11) for k in range(4600)] + [(9999, "t", None, "503 Service Unavailable")]
     records = spark.createDataFrame(rows, "page_id long, title string, headings array<struct<level: int, text: string>>, text string").withColumn("fields", F.array(F.lit("text")))
     assert {_name(k) for k in range(2300)} <= p4.fitted(records)[1]["text"].vocabulary.keys()
+
+
+# 10
+
+
+def test_subject_model_equals_a_fit_on_all_documents(spark, data):
+    docs, labels, subjects = Q._subject_tables(spark, data)
+    whole, got = p10.fitted(docs, labels, subjects)
+    apart, told = {r.doc_id for r in whole.filter("apart").collect()}, {}
+    for r in labels.filter("doc_id is not null and subject is not null").collect():
+        told.setdefault(r.doc_id, set()).add(r.subject.strip().lower())
+    rows = [(r.doc_id, p10.sentence_tokens(r.text), frozenset(told.get(r.doc_id, set()) & set(got.subjects))) for r in docs.collect()]
+    want = p10._train([(s, own) for k, s, own in rows if k not in apart], got.subjects, p10.ROUNDS)
+    assert apart and apart < told.keys()
+    number = {hash64(w): k for w, k in want.vocabulary.items()}
+    assert got.words.view(np.int64).tolist() and number.keys() == set(got.words.view(np.int64).tolist())
+    to, size = np.array([0, *(number[h] for h in got.words.view(np.int64).tolist())]), len(number) + 1
+    keys = to[got.pair_keys // size] * size + to[got.pair_keys % size]
+    assert (np.sort(keys) == want.pair_keys).all()
+    assert got.gains[:size] == pytest.approx(want.word_gain[to], abs=1e-3)
+    assert got.gains[size:] == pytest.approx(want.pair_gain[np.searchsorted(want.pair_keys, keys)], abs=1e-3)
+    assert got.margin == p10._calibrate(want, [(s, own) for k, s, own in rows if k in apart])
+
+
+def test_words_of_all_labelled_documents_are_learned(spark):
+    subject = lambda n: ("law", "sport")[n % 2]
+    text = lambda n: f"Yesterday they spoke of place{n} and of place{n} again. The weather was fine on that day. Nobody knew what came next."
+    rows = [(4 * n + k, text(n)) for n in range(2000) for k in range(4)]
+    labels = [(4 * n + k, subject(n), None) for n in range(2000) for k in range(3)]
+    found = p10.document_subjects(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"), spark.createDataFrame([("law", ""), ("sport", "")], "subject string, description string"))
+    found = {(r.doc_id, r.subject) for r in found.filter("doc_id % 4 = 3").collect()}
+    assert len(found & {(4 * n + 3, subject(n)) for n in range(2000)}) >= 1900
